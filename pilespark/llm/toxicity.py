@@ -248,6 +248,19 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start: bigint, end: bigint, e_value: double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text the model predicts to be toxic: all columns, no shuffle."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([probability(features(t or "", model, memo)[3], model) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether an id is kept from learning: crc32 of its text is divisible by 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
