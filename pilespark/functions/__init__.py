@@ -1 +1 @@
-
+"""Column functions over DNA text, match summaries and alignment descriptions."""

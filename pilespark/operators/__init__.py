@@ -1 +1 @@
-
+"""Relational operators of the variant-calling engine."""
