@@ -64,9 +64,9 @@ def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step
     reference = F.substr("bases", (F.col("diagonal") - F.col("first") + 1).cast("int"), F.length("seq"))
     cut = placed.select(F.col("read_id.read_id").alias("read_id"), F.col("read_id.strand").alias("strand"), "contig", "diagonal", "seq", reference.alias("reference")).where(F.length("reference") == F.length("seq"))
     found = cut.withColumn("errors", mismatches(F.col("seq"), F.col("reference"))).where(F.col("errors") <= most)
-    # on the reverse strand tokens follow the read, so the text runs from its last reference base to its first
+    # on the reverse strand tokens follow the read: from its last reference base to its first, as their complements
     forward = F.col("strand") == "+"
-    gigar = F.when(forward, gigar_of(F.col("seq"), F.col("reference"))).otherwise(gigar_of(F.reverse("seq"), F.reverse("reference")))
+    gigar = F.when(forward, gigar_of(F.col("seq"), F.col("reference"))).otherwise(gigar_of(reverse_complement(F.col("seq")), reverse_complement(F.col("reference"))))
     text = F.concat_ws(":", "contig", "strand", (F.col("diagonal") + 1).cast("string"), gigar)
     listed = found.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("errors", "contig", "diagonal", "strand", text.alias("text")))).alias("a"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: F.size(F.filter("a", lambda x: x["errors"] == e)).cast("string"))
