@@ -17,7 +17,7 @@ from .shingles import BYTES, mix
 LENGTH, GRAM, SLICE = 200, 40, 1 << 20
 #: Depth in bytes to which strings are sorted by multikey quicksort, eight bytes a step, before blind tries take over.
 SHALLOW = 16
-#: Contexts of one anchor that one task sorts; anchors with more are settled window by window, by a shuffle.
+#: Contexts of one anchor that one task sorts; larger groups are split by what halves of their windows must share.
 HOT = 2048
 #: Rows of a few numbers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -193,15 +193,15 @@ def mutual(strings: list[bytes]) -> np.ndarray:
     return out[np.ix_(back, back)]
 
 
-def shared_windows(contexts: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]:
+def shared_windows(contexts: list[tuple[bytes, int]], first: int, last: int) -> list[list[tuple[int, int]]]:
     """For each (context, anchor) of one key, the byte runs covered by windows that another context has too.
 
     Two contexts share the window that begins o bytes before the anchor if they agree on o bytes to the left and on
-    LENGTH - o from the anchor on.
+    LENGTH - o from the anchor on. Windows of first <= o <= last are looked at.
     """
     left = mutual([c[:a][::-1] for c, a in contexts])
     right = mutual([c[a + GRAM :] for c, a in contexts]) + GRAM
-    low, high = np.maximum(0, LENGTH - right), np.minimum(left, LENGTH - GRAM)
+    low, high = np.maximum(first, LENGTH - right), np.minimum(left, last)
     fits = low <= high
     np.fill_diagonal(fits, False)
     out = []
@@ -303,9 +303,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for _, group in key_groups(batches, 1):
-            group = list({g[1:4]: g for g in group}.values())  # rows that repeat id and text hold the same contexts
-            for (_, doc, salt, begin, _, single, _), runs in zip(group, shared_windows([(g[6], g[4]) for g in group]), strict=True):
+        for (_, first, last), group in key_groups(batches, 3):
+            group = list({g[3:6]: g for g in group}.values())  # rows that repeat id and text hold the same contexts
+            for (_, _, _, doc, salt, begin, _, single, _), runs in zip(group, shared_windows([(g[8], g[6]) for g in group], first, last), strict=True):
                 if single:
                     rows += [(doc, salt, begin + b, begin + e) for b, e in runs]
             if len(rows) >= 10_000:
@@ -313,23 +313,43 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 rows = []
         yield frame(rows, RUNS)
 
-    cool = fetched.where(F.col("size") <= HOT).select("key", "doc", "salt", "begin", "at", "single", "context")
-    solved = cool.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(solve, RUNS_SQL)
+    split_schema = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), *(text_schema.field(k) for k in ("doc", "salt", "begin", "at", "single", "context"))])
+    split_sql = "key long, first int, last int, doc long, salt int, begin int, at int, single boolean, context binary"
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A context goes to the groups of those that agree with it on all that the windows of half the range share.
+
+        There it is cut down to what these windows cover.
+        """
         for batch in batches:
-            for key, _, doc, salt, begin, _, single, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = gram_hashes(np.frombuffer(context, np.uint8), LENGTH).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(h), pa.array([doc] * n, pa.int64()), pa.array([salt] * n, pa.int32()), pa.array(np.arange(begin, begin + n, dtype=np.int32)), pa.array([single] * n)], names=["key", "window", "doc", "salt", "begin", "single"])
-
-    hot = fetched.where(F.col("size") > HOT).dropDuplicates(["key", "doc", "salt", "begin"])
-    if hot.isEmpty():
-        return known.union(solved)
-    each = hot.mapInArrow(windows, "key long, window long, doc long, salt int, begin int, single boolean")
-    twice = each.groupBy("key", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "window")
-    met = each.where("single").join(twice, ["key", "window"], "left_semi").select("doc", "salt", "begin", (F.col("begin") + LENGTH).alias("end"))
-    return known.union(solved).union(met)
+            rows = []
+            for key, first, last, doc, salt, begin, at, single, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                middle = (first + last) // 2
+                for lo, hi in ((first, middle), (middle + 1, last)):
+                    if at >= lo and len(context) - at >= LENGTH - hi:
+                        child = hashlib.blake2b(context[at - lo : at + LENGTH - hi] + f"{key} {lo} {hi}".encode(), digest_size=8).digest()
+                        cut = max(0, at - hi)
+                        rows.append((int.from_bytes(child, "little", signed=True), lo, hi, doc, salt, begin + cut, at - cut, single, context[cut : at + LENGTH - lo]))
+            yield frame(rows, split_schema)
+
+    out = known
+    columns = ["key", "first", "last", "doc", "salt", "begin", "at", "single", "context"]
+    groups = fetched.withColumns({"first": F.lit(0), "last": F.lit(LENGTH - GRAM)})
+    while True:
+        cool = groups.where(F.col("size") <= HOT).select(columns)
+        out = out.union(cool.repartition(partitions(spark), "key").sortWithinPartitions("key", "first").mapInArrow(solve, RUNS_SQL))
+        hot = groups.where((F.col("size") > HOT) & (F.col("first") < F.col("last")))  # one window: all unlike once cut down
+        if hot.isEmpty():
+            return out
+        parts = scratch.keep(hot.select(columns).mapInArrow(split, split_sql).withColumn("name", F.xxhash64("context")))
+        # cut down, many are equal: those are repeated throughout, and one of them stands for all
+        place = F.struct("doc", "salt", "begin", "at", "single", "context")
+        distinct = scratch.keep(parts.groupBy("key", "name", "first", "last").agg(F.min(place).alias("x"), F.count(F.lit(1)).alias("times")))
+        equal = distinct.where("times > 1").select("key", "name")
+        out = out.union(parts.where("single").join(small(equal), ["key", "name"], "left_semi").select("doc", "salt", "begin", (F.col("begin") + F.length("context")).alias("end")))
+        sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        single = (F.col("x.single") & (F.col("times") == 1)).alias("single")
+        groups = scratch.keep(distinct.join(small(sizes), "key").select("key", "size", "first", "last", "x.doc", "x.salt", "x.begin", "x.at", single, "x.context"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
