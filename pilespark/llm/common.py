@@ -52,7 +52,8 @@ class Scratch:
         """Write df and read it back."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        # zstd, for the default codec leaves buffers outside the heap with each small file that is read
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         kept._scratch_path = path
@@ -67,6 +68,11 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has no more than `rows` rows; it must be cheap to count."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each node of the undirected edges (a, b) with the smallest node of its component.
 

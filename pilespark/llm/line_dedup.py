@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
-
-#: Characters of a shingle; bands of a signature and minima in a band: at a similarity of 0.78 a pair shares a band with
-#: probability 1 - (1 - 0.78 ** 3) ** 8 = 0.994, at 0.9 over 0.9999.
-SHINGLE, BANDS, WIDTH = 9, 8, 3
-MINIMA = BANDS * WIDTH
-#: The first characters of each word, long words in parts of 24; where words are not spaced, from each character on.
-ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\x21-\x{{2E7F}}]{{1,24}}|\S)\s*"
+from .common import Scratch, components, small
+
+#: Characters of a shingle; bands of a signature and minima in a band: at a similarity of 0.8 a pair shares a band with
+#: probability 1 - (1 - 0.8 ** 3) ** 10 = 0.999 if bands are independent. Measured at 0.82: 1.0 for lines of 30 words, 0.99
+#: for 20; 0.97 for 12 words at 0.85, whose few shingles serve several bands. The minima are the first of POINTS points.
+SHINGLE, BANDS, WIDTH = 9, 10, 3
+MINIMA, POINTS = BANDS * WIDTH, 32
+#: Rounds in which what is unlike its pivot is dealt out again, by one more band each time.
+ROUNDS = 4
+#: A shingle begins where a word does; long words count in parts, so that shingles cover every character, and where
+#: words are not spaced (beyond U+2E7F) each character is a word.
+ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\x21-\x{{2E7F}}]{{1,{SHINGLE}}}+|\S)\s*+"
 #: Rows of two longs and a position that may be broadcast (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -22,39 +26,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shingles(line: Column) -> Column:
+    """Sorted hashes of a line's character shingles, one for each word."""
+    return F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
 def bands(line: Column) -> Column:
     """Band hashes of a line's MinHash signature.
 
-    Shingles that begin at a word stand for all. Each signature value is the first shingle hash at or after one of
-    MINIMA evenly spaced points of the circle of hashes, so two lines agree in it with the probability that is their
-    similarity, however short they are. A band takes points that lie far apart.
+    Each signature value is the first shingle hash at or after one of POINTS evenly spaced points of the circle of
+    hashes, so two lines agree in it with the probability that is their similarity, however short they are. A band
+    takes points that lie far apart.
     """
-    bin_of = lambda x: F.shiftright((F.shiftright(x, 48) + 32768) * MINIMA, 16).cast("int")
-    hashes = F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), lambda x: F.xxhash64(x)))
-    firsts = let(hashes, lambda h: F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1)))))
+    point = lambda x: F.shiftright(x, 59)  # noqa: E731  from -16 to 15
+    firsts = let(shingles(line), lambda h: F.filter(h, lambda x, i: (i == 0) | (point(x) != point(F.get(h, i - 1)))))
     spread = lambda f: F.concat(
-        F.flatten(F.transform(f, lambda x, i: F.array_repeat(x, bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get(f, i - 1)))))),
-        F.array_repeat(F.get(f, F.lit(0)), F.lit(MINIMA - 1) - bin_of(F.element_at(f, -1))),
+        F.flatten(F.transform(f, lambda x, i: F.array_repeat(x, (point(x) - F.when(i == 0, -POINTS // 2 - 1).otherwise(point(F.get(f, i - 1)))).cast("int")))),
+        F.array_repeat(F.get(f, F.lit(0)), (F.lit(POINTS // 2 - 1) - point(F.element_at(f, -1))).cast("int")),
     )
     banded = lambda s: F.array(*(F.xxhash64(F.lit(j), *(F.get(s, F.lit(j + k * BANDS)) for k in range(WIDTH))) for j in range(BANDS)))
     return let(firsts, lambda f: let(spread(f), banded))
 
 
-def shingles(line: Column) -> Column:
-    """The distinct SHINGLE-character substrings' hashes (a shorter line's only one is itself)."""
-    each = lambda b: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(b) / 4).cast("int") - SHINGLE)), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))
-    )
-    return F.array_distinct(let(F.encode(line, "UTF-32"), each))
-
-
 def jaccard(a: Column, b: Column) -> Column:
-    return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n)))
+    """Of two arrays of distinct hashes."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def by_size(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small; it must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return small(df, BROADCAST_ROWS)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -67,26 +67,29 @@ def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch:
     """Verified edges (a, b) between ids of lines(id, bands); texts(id, line) has at least the lines in question.
 
     All lines that share a band are compared with the one of least hash among them, its pivot. Those found unlike it are
-    dealt out anew by one more band, until they are alone; so no pairs are listed within a bucket, and each line of a
-    bucket is compared once in each round.
+    dealt out anew by one more band, for ROUNDS rounds; so no pairs are listed within a bucket, and each line of a bucket
+    is compared once in each round. What is left then agrees in 12 minima and has met up to 40 pivots in its 10 bands.
     """
     found: list[DataFrame] = []
-    rows = lines.select("id", "bands", F.posexplode("bands").alias("first", "key"))
-    for level in range(1, BANDS + 1):
+    held = None
+    rows = lines.select("id", F.posexplode("bands").alias("first", "key"))
+    for level in range(1, ROUNDS + 1):
         pivots = scratch.keep(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("least.id").alias("pivot")))
         met = scratch.keep(rows.join(by_size(pivots), "key").where("id <> pivot"))
-        pairs = scratch.keep(met.select("id", "pivot").distinct())
-        wanted = by_size(scratch.keep(pairs.select("id").union(pairs.select("pivot")).distinct()))
-        held = scratch.keep(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-        judged = pairs.join(held, "id").join(held.select(F.col("id").alias("pivot"), F.col("line").alias("other")), "pivot")
-        judged = scratch.keep(judged.select("id", "pivot", (jaccard(F.col("line"), F.col("other")) >= threshold).alias("alike")))
+        pairs = met.select("id", "pivot").distinct()
+        if held is None:
+            wanted = by_size(scratch.keep(met.select("id").union(met.select("pivot")).distinct()))
+            held = scratch.keep(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(shingles(F.col("line"))).alias("set")))
+        judged = pairs.join(held, "id").join(held.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
+        judged = scratch.keep(judged.select("id", "pivot", (jaccard(F.col("set"), F.col("other")) >= threshold).alias("alike")))
         found.append(judged.where("alike").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         unlike = judged.where("not alike").select("id", "pivot")
-        rest = met.join(unlike, ["id", "pivot"], "left_semi")
-        if level == BANDS or unlike.isEmpty():
+        if level == ROUNDS or unlike.isEmpty():
             break
-        rows = scratch.keep(rest.select("id", "bands", "first", F.xxhash64("key", F.get("bands", (F.col("first") + level) % BANDS)).alias("key")))
-        scratch.drop(met, held)
+        # a bucket's rest is dealt out by the next band; the bands of these lines alone are fetched again
+        rest = met.join(unlike, ["id", "pivot"], "left_semi").join(lines.select("id", "bands"), "id")
+        rows = scratch.keep(rest.select("id", "first", F.xxhash64("key", F.get("bands", (F.col("first") + level) % BANDS)).alias("key")))
+        scratch.drop(met)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -96,7 +99,8 @@ def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch:
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col holding the lines that stay, and n_lines, n_removed (which replace columns of these names).
 
-    Lines are equal, or alike at a Jaccard similarity of their character shingles of at least threshold; of each connected
+    Lines are equal, or alike at a Jaccard similarity of their character shingles (SHINGLE characters from each word's
+    beginning) of at least threshold; of each connected
     component of lines, over all documents, the one with the least (id, line number) stays. Candidates share a band of a
     MinHash signature and are verified exactly; components come from distributed union-find. Blank lines are no
     duplicates and stay. A null text stays null, with 0 lines; an empty text has one line, blank. Rows with a null id are
@@ -109,14 +113,15 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     every = occurrences(named(docs).where("text is not null"))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "salt", "at")
     distinct = every.select("h1", "h2", place.alias("place"), bands(F.col("line")).alias("bands")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    lines = scratch.keep(distinct.select(F.struct("h1", "h2").alias("id"), "place", "n", "bands"))
-    edges = scratch.keep(similar_lines(lines, every.select(F.struct("h1", "h2").alias("id"), "line"), threshold, scratch))
+    lines = scratch.keep(distinct)
+    # half a name is enough to propose pairs; equal lines are told by both halves
+    edges = scratch.keep(similar_lines(lines.select(F.col("h1").alias("id"), "bands"), every.select(F.col("h1").alias("id"), "line"), threshold, scratch))
     roots = components(spark, edges, scratch)
-    grouped = lines.select("id", "place", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    alone = grouped.where("root is null and n > 1").select("id", "place")
+    grouped = lines.select("h1", "h2", "place", "n").join(roots.withColumnRenamed("node", "h1"), "h1", "left")
+    alone = grouped.where("root is null and n > 1").select("h1", "h2", "place")
     joint = grouped.where("root is not null")
     least = joint.groupBy("root").agg(F.min("place").alias("place"))
-    keepers = scratch.keep(alone.union(joint.select("id", "root").join(least, "root").select("id", "place")).select("id.h1", "id.h2", F.col("place").alias("keeper")))
+    keepers = scratch.keep(alone.union(joint.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "place")).withColumnRenamed("place", "keeper"))
     gone = every.select("doc", "salt", "at", "h1", "h2").join(by_size(keepers), ["h1", "h2"]).where(~((F.col("keeper.doc").eqNullSafe(F.col("doc"))) & (F.col("keeper.salt") == F.col("salt")) & (F.col("keeper.at") == F.col("at"))))
     removed = scratch.keep(gone.select("doc", "salt", "at").groupBy("doc", "salt").agg(F.collect_set("at").alias("at")))
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"), F.col(text_col).alias("text"))

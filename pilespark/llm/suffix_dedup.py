@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, text_batches
+from .common import small as small_up_to
 from .shingles import BYTES, mix
 
 #: Bytes of a string that counts as repeated, and of an anchor gram; windows that are hashed at once.
@@ -242,8 +243,7 @@ def key_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small; it must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return small_up_to(df, BROADCAST_ROWS)
 
 
 def frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
