@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pilespark.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from pilespark.llm.common import Scratch, table
+from pilespark.llm.common import Scratch, small, table
 
+#: Ids that may be broadcast, 16 MB; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,17 +27,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the least id stays, once."""
+    """Of each class of near copies the document of the least id stays."""
     classes = ngram_join.ngram_join(docs)
     gone = Scratch(spark, "copies").keep(classes.where("doc_id <> class_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark passage go."""
     leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = Scratch(spark, "leaks").keep(leaks.select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
