@@ -20,7 +20,9 @@ FIT_ROWS = 20_000
 #: Lengths of word beginnings that stand between a word and the whole vocabulary in the hierarchy of priors.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Pseudo-count of a token's prior; score that every token loses, so that clean text drifts down; least counts kept.
-PRIOR, DRIFT, LEAST_TOXIC, LEAST_CLEAN = 1.0, 0.25, 3, 50
+PRIOR, DRIFT, LEAST_TOXIC, LEAST_CLEAN = 1.0, 0.25, 5, 50
+#: Occurrences of one word in one text that count, in learning and in scoring: words come in bursts.
+BURST = 3
 #: Expected number of as good segments in clean text of the same length below which a passage is significant.
 E_VALUE = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -108,12 +110,17 @@ def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> float
 def features(text: str, model: Model, memo: dict[str, float]) -> tuple[list[str], np.ndarray, list[tuple[int, int, float]], tuple[float, float]]:
     words = WORD.findall(text.lower())
     get, score = memo.get, model.score
+    burst: dict[str, int] = {}
     values = np.empty(len(words))
     for i, w in enumerate(words):
         if (x := get(w)) is None:
             if len(memo) >= MEMO:
                 memo.clear()
             x = memo[w] = score(w)
+        if x > 0:
+            n = burst[w] = burst.get(w, 0) + 1
+            if n > BURST:
+                x = -DRIFT
         values[i] = x
     found = segments(values)
     strong = evidence(found, len(words), model)
@@ -176,10 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = Counter(WORD.findall(text.lower()))
                 mine = seen[toxic == 1]
-                mine[""] += sum(words.values())
+                mine[""] += sum(min(n, BURST) for n in words.values())
                 for w, n in words.items():
                     for node in nodes(w):
-                        mine[node] += n
+                        mine[node] += min(n, BURST)
         keys = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][x] for x in keys], pa.int64()), pa.array([seen[0][x] for x in keys], pa.int64())], names=["node", "t", "n"])
 
