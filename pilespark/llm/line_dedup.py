@@ -19,6 +19,8 @@ ROUNDS = 4
 ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\x21-\x{{2E7F}}]{{1,{SHINGLE}}}+|\S)\s*+"
 #: Rows of two longs and a position that may be broadcast (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: The same for single longs (8 MB).
+BROADCAST_KEYS = 1_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -74,8 +76,11 @@ def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch:
     held = None
     rows = lines.select("id", F.posexplode("bands").alias("first", "key"))
     for level in range(1, ROUNDS + 1):
-        pivots = scratch.keep(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("least.id").alias("pivot")))
-        met = scratch.keep(rows.join(by_size(pivots), "key").where("id <> pivot"))
+        # most keys occur once; they are told by counting keys alone
+        keys = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+        shared = scratch.keep(rows.join(small(keys, BROADCAST_KEYS), "key", "left_semi"))
+        pivots = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("least")).select("key", F.col("least.id").alias("pivot"))
+        met = scratch.keep(shared.join(pivots, "key").where("id <> pivot"))
         pairs = met.select("id", "pivot").distinct()
         if held is None:
             wanted = by_size(scratch.keep(met.select("id").union(met.select("pivot")).distinct()))
