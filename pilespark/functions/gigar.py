@@ -40,3 +40,9 @@ def alignments(text: Column) -> Column:
     parts = lambda a: F.split(a, ":")
     one = lambda a: F.struct(F.get(parts(a), F.lit(0)).alias("chrom"), F.get(parts(a), F.lit(1)).alias("strand"), F.get(parts(a), F.lit(2)).cast("long").alias("start"), F.get(parts(a), F.lit(3)).alias("gigar"))
     return F.transform(F.filter(F.split(text, ","), lambda a: (a != "-") & (a != "")), one)
+
+
+def reference_span(read_length: Column, gigar: Column) -> Column:
+    """Reference bases that a read of some length covers: deletions add, insertions and clips take away."""
+    total = lambda pattern: F.aggregate(F.regexp_extract_all(gigar, F.lit(pattern), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
+    return read_length + total(">([0-9]+)[+]") - total(">([0-9]+)[-]") - total("[(]([0-9]+)[)]")

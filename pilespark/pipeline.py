@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.dna import is_accession
 from .operators import kmer, merge, partition, pileup, ranges, stratum
-from .sources import fasta, fastq
+from .sources import fasta, fastq, storage
 from .stats import Stats
 
 log = logging.getLogger(__name__)
@@ -67,9 +67,7 @@ class Pipeline:
         return f"{self.params.output_path}/{self.params.run_id}/{stage}"
 
     def exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return storage.exists(self.spark, path)
 
     def kept(self, stage: str, make) -> DataFrame:
         if not self.exists(f"{self.path(stage)}/_SUCCESS"):
@@ -137,10 +135,7 @@ class Pipeline:
 
     def clean(self, *stages: str) -> None:
         """Remove the named stages' tables, or all of the run."""
-        jvm = self.spark.sparkContext._jvm
-        for path in [self.path(s) for s in stages] or [f"{self.params.output_path}/{self.params.run_id}"]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        storage.remove(self.spark, *([self.path(s) for s in stages] or [f"{self.params.output_path}/{self.params.run_id}"]))
 
     def clean_temporary(self) -> None:
         """Remove what only serves a later run of the same id; variants and pileup stay."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, gigar, strata
@@ -221,6 +221,34 @@ def gigar_tokens(spark, sf_dir):
     return lens(spark, sf_dir, "gigars").select("read_id", "strand", "start", F.array_join(gigar.tokens(F.col("gigar")), " ").alias("tokens"))
 
 
+def listed(pattern: str) -> str:
+    return f"coalesce(list_sum(list_transform(regexp_extract_all(gigar, '{pattern}', 1), lambda x: cast(x as int))), 0)"
+
+
+@query(f"select read_id, cast(12 + {listed('>([0-9]+)[+]')} - {listed('>([0-9]+)[-]')} - {listed('[(]([0-9]+)[)]')} as int) as span from {{gigars}}")
+def read_spans(spark, sf_dir):
+    return lens(spark, sf_dir, "gigars").select("read_id", gigar.reference_span(F.lit(12), F.col("gigar")).alias("span"))
+
+
+@query("select chrom, pos, cast(dense_rank() over (partition by chrom order by pos) as int) as place, count(*) as depth from {obs} group by chrom, pos")
+def ordered_positions(spark, sf_dir):
+    """Positions in order within each contig."""
+    histogram = ranges.position_histogram(lens(spark, sf_dir, "obs"), "chrom").withColumnRenamed("n", "depth")
+    return histogram.select("chrom", "pos", F.dense_rank().over(Window.partitionBy("chrom").orderBy("pos")).alias("place"), "depth")
+
+
+@query("select n_regionkey as contig, n_nationkey as split, lag(n_name) over (order by n_nationkey) as carried from nation")
+def carried_header(spark, sf_dir):
+    """What each split takes over from the one before it."""
+    splits = table(spark, sf_dir, "nation")  # one row for each split
+    return splits.select(F.col("n_regionkey").alias("contig"), F.col("n_nationkey").alias("split"), F.lag("n_name").over(Window.orderBy("n_nationkey")).alias("carried"))
+
+
+@query("select count(*) as n_sequences, count(distinct n_regionkey) as n_files from nation")
+def sequence_count(spark, sf_dir):
+    return table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("n_sequences"), F.count_distinct("n_regionkey").alias("n_files"))
+
+
 #: Reads of 12 bases on a reference of 200, by the same rules as pileup() but laid out for SQL.
 SEQ, QUAL, REFERENCE = "ACGTACGTACGT", "ABCDEFGHIJKL", "ACGT" * 50
 OBSERVED = f"""

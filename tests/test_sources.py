@@ -9,7 +9,7 @@ import pytest
 
 from pilespark.operators import external, merge
 from pilespark.pipeline import Params, Pipeline
-from pilespark.sources import fasta, fastq, mapfile, mpileup, runlog
+from pilespark.sources import fasta, fastq, mapfile, mpileup, runlog, storage
 from pilespark.stats import Stats
 from pilespark.streaming import pileup as streaming
 
@@ -111,6 +111,20 @@ def test_run_logs(spark, tmp_path):
     assert runlog.read_stats(spark, str(tmp_path / "stats")).first()["timer"] == "a"
 
 
+def test_storage(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("xyz")
+    assert storage.exists(spark, str(tmp_path / "d"))
+    assert [(r["path"].rpartition("/")[2], r["length"]) for r in storage.listing(spark, str(tmp_path), "*.txt").collect()] == [("a.txt", 3)]
+    storage.remove(spark, str(tmp_path / "d"), str(tmp_path / "none"))
+    assert not storage.exists(spark, str(tmp_path / "d"))
+    assert storage.split_uri("s3://bucket/a/./b/../c.txt") == ("s3", "bucket", "a/c.txt")
+    assert storage.split_uri("s3://bucket/../x") == ("s3", "bucket", "x")
+    with pytest.raises(ValueError):
+        storage.split_uri("/local/path")
+    assert storage.stage_prefix("7", "map") == "run-7.tmp/map"
+
+
 def test_pipe(spark):
     lines = spark.createDataFrame([("b",), ("a",)], "value string").coalesce(1)
     assert [r[0] for r in external.pipe(lines, ["sort"]).collect()] == ["a", "b"]
