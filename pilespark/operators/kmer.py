@@ -12,8 +12,13 @@ from ..functions.dna import reverse_complement
 
 
 def kmers(text: Column, k: int, step: int = 1) -> Column:
-    """array<struct<at, kmer>>: substrings of k characters from every `step`-th 0-based place."""
-    return F.transform(F.when(F.length(text) >= k, F.sequence(F.lit(0), F.length(text) - k, F.lit(step))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), F.substr(text, i + 1, F.lit(k)).alias("kmer")))
+    """array<struct<at, kmer>>: substrings of k characters from every `step`-th 0-based place, in UTF-32.
+
+    Characters of one width are found at once; a substring of the text itself would be counted off from its beginning.
+    """
+    places = lambda b: F.when(F.length(b) >= 4 * k, F.sequence(F.lit(0), (F.length(b) / 4).cast("int") - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    each = lambda b: F.transform(places(b), lambda i: F.struct(i.alias("at"), F.substring(b, i * 4 + 1, F.lit(4 * k)).alias("kmer")))
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), each), 1)
 
 
 def reference_windows(contigs: DataFrame, width: int, overlap: int) -> DataFrame:
