@@ -19,6 +19,8 @@ RUNS, LEVELS = 10, 3
 SMALL, BLOCK, SKETCH = 64, 2048, 128
 #: How far below the threshold a sketch's estimate may fall (3 standard errors) before a pair is given up.
 SLACK = 0.11
+#: Counts are whole numbers; this keeps a pair exactly at the threshold from rounding away.
+EXACT = 1e-6
 #: Ids that may be broadcast: 2 million longs.
 BROADCAST_IDS = 2_000_000
 SKETCH_SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -132,7 +134,7 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
         for t in groups(batches):
             ids, size = t.column("id").to_numpy(), t.column("size").to_numpy().astype(float)
             s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-            close = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size)
+            close = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - EXACT
             root = forest((alike(s[:, None, :], s[None, :, :]) >= least) & close)
             at = np.flatnonzero(root != np.arange(len(root)))
             out_a += ids[at].tolist()
@@ -146,7 +148,8 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
         for batch in batches:
             n = batch.num_rows
             s, lead = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in ("sketch", "lead_sketch"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array(alike(s, lead) >= least if n else [], pa.bool_())], names=["path", "run", "id", "lead", "near"])
+            far = batch.column("far").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array((alike(s, lead) >= least) & ~far if n else [], pa.bool_())], names=["path", "run", "id", "lead", "near"])
 
     for level in range(1, LEVELS + 1):
         rows = scratch.keep(rows)
@@ -156,7 +159,7 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
         found.append(scratch.keep(small.repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(pairs, "a long, b long").distinct()))
         leaders = counts.where(F.col("n") > SMALL).select("path", F.col("first.id").alias("lead")).join(facts.select(F.col("id").alias("lead"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch")), "lead")
         big = rows.join(leaders, "path").where("id <> lead").join(facts, "id")
-        far = (F.least("size", "lead_size") < threshold * F.greatest("size", "lead_size")).alias("far")
+        far = (F.least("size", "lead_size") < threshold * F.greatest("size", "lead_size") - EXACT).alias("far")
         big = scratch.keep(big.select("path", "run", "id", "lead", "sketch", "lead_sketch", far).mapInArrow(close_to_leader, "path long, run int, id long, lead long, near boolean"))
         found.append(big.where("near").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
         scratch.drop(rows)
@@ -205,7 +208,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
                 x[owner[lo:hi], column[lo:hi] - b] = 1
                 common += x @ x.T
             either = lengths[:, None] + lengths - common
-            linked = common >= threshold * either
+            linked = common >= threshold * either - EXACT
             np.fill_diagonal(linked, False)
             if len(set(mine.tolist())) > 1:  # pairs within a block are counted where the block meets itself
                 linked &= mine[:, None] != mine
