@@ -151,3 +151,15 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark, spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 50 for k in [*range(50, 80), 100])
     assert got[200] == 200 and got[301] == 300
+
+
+def test_word_hashes_tell_words_apart():
+    import numpy as np
+
+    from pilespark.llm.shingles import words as hashes
+
+    rng = random.Random(9)
+    text = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(3000)} | {"y" * n for n in range(1, 60)} | {"é" * n for n in range(1, 9)}
+    found = hashes(np.frombuffer(" ".join(sorted(text)).encode(), np.uint8))
+    assert len(found) == len(set(found.tolist())) == len(text)
+    assert hashes(np.frombuffer(b"  one\ttwo\none ", np.uint8)).tolist() == [*hashes(np.frombuffer(b"one two one", np.uint8)).tolist()]
