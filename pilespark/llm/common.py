@@ -68,9 +68,13 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has no more than `rows` rows; it must be cheap to count."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int, array: str | None = None) -> DataFrame:
+    """df, marked for broadcast if it has no more than `rows` rows, entries of `array` counted too; it must be cheap to count."""
+    if array is None:
+        n = df.count()
+    else:
+        n = df.agg(F.sum(F.size(array).cast("long") + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= rows else df
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:

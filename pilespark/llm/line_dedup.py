@@ -19,7 +19,7 @@ ROUNDS = 4
 ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\x21-\x{{2E7F}}]{{1,{SHINGLE}}}+|\S)\s*+"
 #: Rows of two longs and a position that may be broadcast (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: The same for single longs (8 MB).
+#: The same for single longs (8 MB); for line numbers twice as many.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -131,7 +131,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     removed = scratch.keep(gone.select("doc", "salt", "at").groupBy("doc", "salt").agg(F.collect_set("at").alias("at")))
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"), F.col(text_col).alias("text"))
     hit = removed.select(F.col("doc").alias("d"), F.col("salt").alias("s"), "at")
-    joined = marked.join(by_size(hit), F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    joined = marked.join(small(hit, 2 * BROADCAST_KEYS, "at"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s")), "left")
     whole = F.split("text", "\n", -1)
     kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(let(F.struct(whole.alias("lines"), F.col("at").alias("at")), lambda x: F.filter(x["lines"], lambda _, i: ~F.array_contains(x["at"], i))), "\n"))
     out = joined.select("row", kept.alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"))

@@ -20,7 +20,7 @@ LENGTH, GRAM, SLICE = 200, 40, 1 << 20
 SHALLOW = 16
 #: Contexts of one anchor that one task sorts; larger groups are split by what halves of their windows must share.
 HOT = 2048
-#: Rows of a few numbers that may be broadcast.
+#: Rows, or entries of arrays, of a few numbers that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -242,8 +242,8 @@ def key_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
         yield now, held
 
 
-def small(df: DataFrame) -> DataFrame:
-    return small_up_to(df, BROADCAST_ROWS)
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    return small_up_to(df, BROADCAST_ROWS, array)
 
 
 def frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -298,7 +298,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     named = asked.select(F.col("doc").alias("d"), F.col("salt").alias("s"), "asked")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
-    fetched = docs.join(small(named), same).select("doc", "salt", "text", "asked").mapInArrow(fetch, "key long, size long, doc long, salt int, begin int, at int, single boolean, context binary")
+    fetched = docs.join(small(named, "asked"), same).select("doc", "salt", "text", "asked").mapInArrow(fetch, "key long, size long, doc long, salt int, begin int, at int, single boolean, context binary")
     fetched = scratch.keep(fetched)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((doc, len(data), gone, b"".join(data[b:e] for b, e in zip(edges[::2], edges[1::2], strict=True))))
             yield frame(out, result)
 
-    return rows.join(small(spans), same, "left").select("doc", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin: int, end: int>>, kept binary")
+    return rows.join(small(spans, "runs"), same, "left").select("doc", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin: int, end: int>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:
