@@ -24,7 +24,7 @@ def kmers(text: Column, k: int, step: int = 1) -> Column:
 def reference_windows(contigs: DataFrame, width: int, overlap: int) -> DataFrame:
     """contig, first (0-based), bases: windows of `width` bases and `overlap` more, so that long contigs spread out."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width))
-    return contigs.where(F.length("seq") > 0).select("contig", "seq", F.explode(starts).alias("first")).select("contig", "first", F.upper(F.substr("seq", F.col("first") + 1, F.lit(width + overlap))).alias("bases"))
+    return contigs.where(F.length("seq") > 0).select("contig", "seq", F.explode(starts).alias("first")).select("contig", "first", F.upper(F.substring(F.col("seq").cast("binary"), F.col("first") + 1, F.lit(width + overlap)).cast("string")).alias("bases"))
 
 
 def kmer_index(contigs: DataFrame, k: int = 16, width: int = 65_536) -> DataFrame:

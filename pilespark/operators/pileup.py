@@ -26,9 +26,12 @@ def explode_alignments(records: DataFrame) -> DataFrame:
 
 
 def reference_windows(contigs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """contigs(contig, seq) -> chrom, window, bases: slices of `width` bases, numbered from 0."""
+    """contigs(contig, seq) -> chrom, window, bases: slices of `width` bases, numbered from 0.
+
+    Sequences are ASCII, so slices are cut from their bytes: a slice of text would be counted off from the beginning.
+    """
     starts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width))
-    return contigs.where(F.length("seq") > 0).select(F.col("contig").alias("chrom"), "seq", F.explode(starts).alias("window")).select("chrom", "window", F.upper(F.substr("seq", (F.col("window") * width + 1).cast("int"), F.lit(width))).alias("bases"))
+    return contigs.where(F.length("seq") > 0).select(F.col("contig").alias("chrom"), "seq", F.explode(starts).alias("window")).select("chrom", "window", F.upper(F.substring(F.col("seq").cast("binary"), (F.col("window") * width + 1).cast("int"), F.lit(width)).cast("string")).alias("bases"))
 
 
 def placed_tokens(aligned: DataFrame) -> DataFrame:
