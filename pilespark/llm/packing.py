@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: Words that a bin holds, documents of one source that a bin may hold, and documents that are packed together.
 CAPACITY, SOURCE_QUOTA, SHARD_ROWS = 2048, 4, 8192
 
@@ -79,6 +81,7 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOT
     words = F.size(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("n"), cluster_of(text).alias("cluster"))
     shards = max(1, math.ceil(docs.count() / SHARD_ROWS))
+    parts = min(shards, 4 * partitions(spark))  # a task packs one shard after the other
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(shards)).cast("int"))
     schema = "bin_id string, doc_id long, part int, begin long, n_words long"
 
@@ -119,4 +122,4 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOT
             yield shard_rows(now, held)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return dealt.select("shard", "doc_id", "source", "n", "cluster").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return dealt.select("shard", "doc_id", "source", "n", "cluster").repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard").mapInArrow(run, schema)
