@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, small
 
 #: Characters of a shingle; bands of a signature and minima in a band: at a similarity of 0.8 a pair shares a band with
-#: probability 1 - (1 - 0.8 ** 3) ** 10 = 0.999 if bands are independent. Measured at 0.82: 1.0 for lines of 30 words, 0.99
-#: for 20; 0.97 for 12 words at 0.85, whose few shingles serve several bands. The minima are the first of POINTS points.
+#: probability 1 - (1 - 0.8 ** 3) ** 10 = 0.999 if bands are independent. Measured on edited lines of sf0.1 at 0.8 to 0.9:
+#: 1.0 for 8 words and more, 0.99 for 4 to 7. The minima are the first of POINTS points.
 SHINGLE, BANDS, WIDTH = 9, 10, 3
 MINIMA, POINTS = BANDS * WIDTH, 32
 #: Rounds in which what is unlike its pivot is dealt out again, by one more band each time.
 ROUNDS = 4
-#: A shingle begins where a word does; long words count in parts, so that shingles cover every character, and where
-#: words are not spaced (beyond U+2E7F) each character is a word.
-ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\x21-\x{{2E7F}}]{{1,{SHINGLE}}}+|\S)\s*+"
 #: Rows of two longs and a position that may be broadcast (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: The same for single longs (8 MB); for line numbers twice as many.
@@ -28,9 +25,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def substrings(line: Column) -> Column:
+    """Hashes of the SHINGLE-character substrings in order; a shorter line has one, itself."""
+    # four bytes a character, so that a substring is found without a walk
+    each = lambda b: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(b) / 4).cast("int") - SHINGLE)), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))
+    )
+    return let(F.encode(line, "UTF-32"), each)
+
+
 def shingles(line: Column) -> Column:
-    """Sorted hashes of a line's character shingles, one for each word."""
-    return F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), lambda x: F.xxhash64(x)))
+    """The distinct hashes of a line's character shingles."""
+    return F.array_distinct(substrings(line))
 
 
 def bands(line: Column) -> Column:
@@ -41,7 +47,7 @@ def bands(line: Column) -> Column:
     takes points that lie far apart.
     """
     point = lambda x: F.shiftright(x, 59)  # noqa: E731  from -16 to 15
-    firsts = let(shingles(line), lambda h: F.filter(h, lambda x, i: (i == 0) | (point(x) != point(F.get(h, i - 1)))))
+    firsts = let(F.sort_array(substrings(line)), lambda h: F.filter(h, lambda x, i: (i == 0) | (point(x) != point(F.get(h, i - 1)))))
     spread = lambda f: F.concat(
         F.flatten(F.transform(f, lambda x, i: F.array_repeat(x, (point(x) - F.when(i == 0, -POINTS // 2 - 1).otherwise(point(F.get(f, i - 1)))).cast("int")))),
         F.array_repeat(F.get(f, F.lit(0)), (F.lit(POINTS // 2 - 1) - point(F.element_at(f, -1))).cast("int")),
@@ -84,7 +90,7 @@ def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch:
         pairs = met.select("id", "pivot").distinct()
         if held is None:
             wanted = by_size(scratch.keep(met.select("id").union(met.select("pivot")).distinct()))
-            held = scratch.keep(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(shingles(F.col("line"))).alias("set")))
+            held = scratch.keep(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("line")).alias("set")))
         judged = pairs.join(held, "id").join(held.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
         judged = scratch.keep(judged.select("id", "pivot", (jaccard(F.col("set"), F.col("other")) >= threshold).alias("alike")))
         found.append(judged.where("alike").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
@@ -104,9 +110,8 @@ def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch:
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col holding the lines that stay, and n_lines, n_removed (which replace columns of these names).
 
-    Lines are equal, or alike at a Jaccard similarity of their character shingles (SHINGLE characters from each word's
-    beginning) of at least threshold; of each connected
-    component of lines, over all documents, the one with the least (id, line number) stays. Candidates share a band of a
+    Lines are equal, or alike at a Jaccard similarity of their character shingles (all substrings of SHINGLE
+    characters) of at least threshold; of each connected component of lines, over all documents, the one with the least (id, line number) stays. Candidates share a band of a
     MinHash signature and are verified exactly; components come from distributed union-find. Blank lines are no
     duplicates and stay. A null text stays null, with 0 lines; an empty text has one line, blank. Rows with a null id are
     cleaned like others and come last in the order of ids; rows that repeat an id are told apart by their text, and rows

@@ -108,6 +108,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[None]["n_removed"] == (pool[0] in {x for i, _, x in lines if i < len(texts)})
 
 
+def test_lines_are_alike_by_all_their_substrings(spark):
+    """Edits that touch most words' beginnings, or none of them: what counts is every substring."""
+    grams = lambda x: {x[k : k + line_dedup.SHINGLE] for k in range(max(1, len(x) - line_dedup.SHINGLE + 1))}
+    rng = random.Random(8)
+    letters = "".join(map(chr, range(97, 123)))
+    rows, want = [], []
+    for i in range(120):
+        a = " ".join("".join(rng.choices(letters, k=rng.randrange(4, 15))) for _ in range(rng.randrange(8, 16)))
+        at = rng.randrange(len(a))
+        b = a[:at] + "#" + a[at + 1 :]
+        rows += [(2 * i, a, "s", 0), (2 * i + 1, b, "s", 0)]
+        want.append(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)))
+    assert any(want) and not all(want)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[2 * i + 1] == 1 for i in range(120)] == want
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
