@@ -12,8 +12,8 @@ from .common import Scratch, components, small
 #: 1.0 for 8 words and more, 0.99 for 4 to 7. The minima are the first of POINTS points.
 SHINGLE, BANDS, WIDTH = 9, 10, 3
 MINIMA, POINTS = BANDS * WIDTH, 32
-#: Rounds in which what is unlike its pivot is dealt out again, by one more band each time.
-ROUNDS = 4
+#: Lines of a block; buckets with lines unlike their pivot are compared in pairs of blocks.
+BLOCK = 256
 #: Rows of two longs and a position that may be broadcast (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: The same for single longs (8 MB); for line numbers twice as many.
@@ -58,7 +58,8 @@ def bands(line: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct hashes."""
-    return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    ratio = lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n))
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def by_size(df: DataFrame) -> DataFrame:
@@ -72,39 +73,44 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Verified edges (a, b) between ids of lines(id, bands); texts(id, line) has at least the lines in question.
+    """Verified edges (a, b) that connect all like lines which share a band, between ids of lines(id, bands).
 
-    All lines that share a band are compared with the one of least hash among them, its pivot. Those found unlike it are
-    dealt out anew by one more band, for ROUNDS rounds; so no pairs are listed within a bucket, and each line of a bucket
-    is compared once in each round. What is left then agrees in 12 minima and has met up to 40 pivots in its 10 bands.
+    texts(id, line) has at least the lines in question. All lines that share a band are compared with the one of least
+    hash among them, its pivot; where all are like it the bucket is connected. In the other buckets each line unlike the
+    pivot is compared with all lines of its bucket, so no pair that shares a band is left out. A bucket is dealt out in
+    pairs of blocks of BLOCK lines, so a task's join holds two blocks however large the bucket; the comparisons grow with
+    the unlike lines times the lines of a bucket.
     """
-    found: list[DataFrame] = []
-    held = None
-    rows = lines.select("id", F.posexplode("bands").alias("first", "key"))
-    for level in range(1, ROUNDS + 1):
-        # most keys occur once; they are told by counting keys alone
-        keys = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-        shared = scratch.keep(rows.join(small(keys, BROADCAST_KEYS), "key", "left_semi"))
-        pivots = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("least")).select("key", F.col("least.id").alias("pivot"))
-        met = scratch.keep(shared.join(pivots, "key").where("id <> pivot"))
-        pairs = met.select("id", "pivot").distinct()
-        if held is None:
-            wanted = by_size(scratch.keep(met.select("id").union(met.select("pivot")).distinct()))
-            held = scratch.keep(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingles(F.col("line")).alias("set")))
-        judged = pairs.join(held, "id").join(held.select(F.col("id").alias("pivot"), F.col("set").alias("other")), "pivot")
-        judged = scratch.keep(judged.select("id", "pivot", (jaccard(F.col("set"), F.col("other")) >= threshold).alias("alike")))
-        found.append(judged.where("alike").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        unlike = judged.where("not alike").select("id", "pivot")
-        if level == ROUNDS or unlike.isEmpty():
-            break
-        # a bucket's rest is dealt out by the next band; the bands of these lines alone are fetched again
-        rest = met.join(unlike, ["id", "pivot"], "left_semi").join(lines.select("id", "bands"), "id")
-        rows = scratch.keep(rest.select("id", "first", F.xxhash64("key", F.get("bands", (F.col("first") + level) % BANDS)).alias("key")))
-        scratch.drop(met)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    rows = lines.select("id", F.explode("bands").alias("key"))
+    # most keys occur once; they are told by counting keys alone
+    keys = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    shared = scratch.keep(rows.join(small(keys, BROADCAST_KEYS), "key", "left_semi").distinct())
+    pivots = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("least")).select("key", F.col("least.id").alias("pivot"))
+    met = scratch.keep(shared.join(pivots, "key").where("id <> pivot"))
+    wanted = by_size(scratch.keep(met.select("id").union(met.select("pivot")).distinct()))
+    # what is kept and shuffled are lines, for their sets take some twenty times the room
+    held = scratch.keep(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    pairs = met.select("id", "pivot").distinct()
+    judged = pairs.join(held, "id").join(held.select(F.col("id").alias("pivot"), F.col("line").alias("other")), "pivot")
+    judged = scratch.keep(judged.select("id", "pivot", (jaccard(shingles(F.col("line")), shingles(F.col("other"))) >= threshold).alias("alike")))
+    found = judged.where("alike").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    if judged.where("not alike").isEmpty():
+        return found
+    # buckets with a line unlike the pivot; of three lines or more, for the pivot itself has been compared with all
+    rest = met.join(judged, ["id", "pivot"]).select("key", "id", "alike")
+    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("alike"), 1)).alias("unlike")).where("n > 1 and unlike > 0")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.join(held, "id")
+    # the unlike line's block and the other's; of two unlike lines the lesser id is on the left
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("not alike").select("key", F.col("mine").alias("i"), others.alias("j"), F.col("id").alias("a"), "line").repartition("key", "i", "j")
+    left = left.select("key", "i", "j", "a", shingles(F.col("line")).alias("set"))
+    right = dealt.select("key", F.col("mine").alias("j"), others.alias("i"), F.col("id").alias("b"), "line", F.col("alike").alias("settled")).repartition("key", "i", "j")
+    right = right.select("key", "i", "j", "b", "settled", shingles(F.col("line")).alias("other"))
+    sizes = F.least(F.size("set"), F.size("other")) >= threshold * F.greatest(F.size("set"), F.size("other"))
+    near = left.join(right, ["key", "i", "j"]).where((F.col("a") < F.col("b")) | (F.col("settled") & (F.col("a") != F.col("b")))).where(sizes)
+    return found.union(near.where(jaccard(F.col("set"), F.col("other")) >= threshold).select("a", "b").distinct())
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

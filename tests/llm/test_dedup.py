@@ -125,6 +125,21 @@ def test_lines_are_alike_by_all_their_substrings(spark):
     assert [got[2 * i + 1] == 1 for i in range(120)] == want
 
 
+def test_like_lines_meet_in_a_crowded_family(spark, monkeypatch):
+    """Lines of one template share bands and are unlike each other; only the planted pairs are alike."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    grams = lambda x: {x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)}
+    alike = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+    rng = random.Random(9)
+    frame = words(rng, 40)
+    family = [frame + " " + "".join(rng.choices("bcdfghjk", k=60)) for _ in range(600)]
+    copies = [x[:40] + "#" + x[41:-15] + "z" + x[-14:] for x in family[:200]]
+    assert all(alike(a, b) for a, b in zip(family, copies, strict=False)) and not any(alike(family[0], x) for x in family[1:])
+    found = line_dedup.line_dedup(spark.createDataFrame([(i, x, "s", 0) for i, x in enumerate(family + copies)], DOCS)).collect()
+    gone = {r["doc_id"] for r in found if r["n_removed"]}
+    assert gone == set(range(600, 800))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
