@@ -83,15 +83,38 @@ def seeds(tokens: np.ndarray, index: Index) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
+def least(n: int) -> int:
+    """Equal tokens that an overlap with a passage of n tokens has at least."""
+    return min(LEAST, math.ceil(LEAST_SHARE * n))
+
+
+def widest(equal: np.ndarray) -> tuple[int, int, int]:
+    """(equal tokens, begin, end) of the stretch with most equal tokens among those of which SHARE are equal.
+
+    For each end the earliest begin that leaves the share counts, found among the prefix minima.
+    """
+    gain = round(100 * (1 - SHARE))
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, gain, gain - 100))])
+    begins = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = int(np.argmax(count - count[begins]))
+    at = np.flatnonzero(equal[begins[end] : end]) + int(begins[end])  # it begins and ends with an equal token
+    return (len(at), int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0, 0)
+
+
 def overlap(tokens: np.ndarray, passage: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(equal tokens, begin, end in the document) of the best stretch on a diagonal."""
+    """(equal tokens, begin, end in the document) of the best-scored stretch on a diagonal; if that is no overlap, of the
+    stretch at SHARE that has most equal tokens."""
     b, e = max(0, diagonal), min(len(tokens), diagonal + len(passage))
     equal = tokens[b:e] == passage[b - diagonal : e - diagonal]
     sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, MISMATCH))])
     low = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - low))
     begin = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    return int(equal[begin:end].sum()), b + begin, b + end
+    n = int(equal[begin:end].sum())
+    if n < least(len(passage)) or n < SHARE * (end - begin):
+        n, begin, end = widest(equal)
+    return n, b + begin, b + end
 
 
 def overlaps(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -102,7 +125,7 @@ def overlaps(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
     for p, diagonal in seeds(tokens, index).tolist():
         item, passage = index.passages[p]
         n, b, e = overlap(tokens, passage, diagonal)
-        if n >= min(LEAST, math.ceil(LEAST_SHARE * len(passage))) and n >= SHARE * (e - b) and (p not in best or n > best[p][1]):
+        if n >= least(len(passage)) and n >= SHARE * (e - b) and (p not in best or n > best[p][1]):
             best[p] = (item, n, len(passage), b, e)
     return sorted(best.values())
 

@@ -150,6 +150,23 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def test_overlap_finds_any_stretch_that_qualifies():
+    """Against all stretches of a diagonal, with random substitutions."""
+    rng = np.random.default_rng(4)
+    rescued = 0
+    for _ in range(600):
+        n = int(rng.integers(8, 60))
+        passage = np.arange(1, n + 1)
+        equal = rng.random(n) >= rng.choice([0.15, 0.2, 0.25])
+        need = min(decontaminate.LEAST, -(-8 * n // 10))
+        count = np.concatenate([[0], np.cumsum(equal)])
+        want = any(count[e] - count[b] >= need and 10 * (count[e] - count[b]) >= 8 * (e - b) for b in range(n) for e in range(b + 1, n + 1))
+        got, b, e = decontaminate.overlap(np.where(equal, passage, 0), passage, 0)
+        assert (got >= need and 10 * got >= 8 * (e - b)) == want and (not want or got == equal[b:e].sum())
+        rescued += want
+    assert rescued > 100
+
+
 def test_packing_keeps_its_rules(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 100)
     rng = random.Random(1)
