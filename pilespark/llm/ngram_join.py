@@ -17,8 +17,13 @@ from .shingles import batch_words, mix, shingle_set
 RUNS, LEVELS = 10, 3
 #: Largest bucket compared pair by pair; members of a block in the exact count of links; minima in a sketch.
 SMALL, BLOCK, SKETCH = 64, 2048, 128
-#: How far below the threshold a sketch's estimate may fall (3 standard errors) before a pair is given up.
-SLACK = 0.11
+#: Shingles up to which a set is compared by all its tokens, as a sketch of few shingles has too large an error.
+WHOLE = 256
+#: How far below the threshold the estimate of larger sets may fall before a pair is given up: above 4 standard errors,
+#: for sets of over WHOLE shingles fill more than 110 of the SKETCH bins.
+SLACK = 0.2
+#: Members of a block where what is left at the last level is compared in pairs of blocks.
+LAST = 256
 #: Counts are whole numbers; this keeps a pair exactly at the threshold from rounding away.
 EXACT = 1e-6
 #: Ids that may be broadcast: 2 million longs.
@@ -60,6 +65,46 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) * 256 / 255
 
 
+def short(tokens: np.ndarray) -> np.ndarray:
+    """Sorted distinct 32-bit halves of a set's tokens."""
+    return np.unique((tokens >> np.uint64(32)).astype(np.uint32))
+
+
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of how many tokens each two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for b in range(0, width, 1024):
+        lo, hi = np.searchsorted(column, [b, b + 1024])
+        x = np.zeros((len(sets), min(1024, width - b)), np.float32)
+        x[owner[lo:hi], column[lo:hi] - b] = 1
+        out += x @ x.T
+    return out
+
+
+def proposed(size: np.ndarray, sketches: np.ndarray, whole: list[bytes], threshold: float) -> np.ndarray:
+    """Which texts of a bucket may be alike: by their sketches, and sets of up to WHOLE shingles exactly."""
+    close = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - EXACT
+    few = size <= WHOLE
+    linked = np.empty(close.shape, bool)
+    for b in range(0, len(size), 64):
+        linked[b : b + 64] = alike(sketches[b : b + 64, None, :], sketches[None, :, :]) >= threshold - SLACK
+    linked &= close
+    open_ = close & ~linked & few[:, None] & few
+    if open_.any():
+        at = np.flatnonzero(open_.any(axis=0))
+        sets = [np.frombuffer(whole[i], np.uint32) for i in at]
+        common, n = common_tokens(sets), np.array([len(x) for x in sets])
+        linked[np.ix_(at, at)] |= (common >= threshold * (n[:, None] + n - common) - EXACT) & open_[np.ix_(at, at)]
+    return linked
+
+
 def forest(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix, the first row of its component."""
     n = len(linked)
@@ -78,8 +123,8 @@ def forest(linked: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame, threshold: float, n: int, with_paths: bool) -> DataFrame:
     """docs(id, text) -> the key, size, sketch and chosen tokens of each text that has words; or else its token set."""
     if with_paths:
-        schema = "id long, key binary, size int, sketch binary, paths array<array<array<bigint>>>"
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.list_(pa.int64())))]
+        schema = "id long, key binary, size int, sketch binary, whole binary, paths array<array<array<bigint>>>"
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.list_(pa.int64())))]
     else:
         schema, kinds = "id long, tokens array<int>", [pa.int64(), pa.list_(pa.int32())]
 
@@ -92,9 +137,9 @@ def scan(docs: DataFrame, threshold: float, n: int, with_paths: bool) -> DataFra
                     continue
                 if with_paths:
                     key = np.array([len(tokens), np.add.reduce(tokens), np.add.reduce(mix(tokens)), np.bitwise_xor.reduce(mix(tokens + np.uint64(7)))], np.uint64).tobytes()
-                    rows.append((i, key, len(tokens), sketch(tokens), chosen(tokens, threshold)))
+                    rows.append((i, key, len(tokens), sketch(tokens), short(tokens).tobytes() if len(tokens) <= WHOLE else b"", chosen(tokens, threshold)))
                 else:
-                    rows.append((i, np.unique((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))))
+                    rows.append((i, short(tokens).view(np.int32)))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split(" ")[0] for c in schema.split(", ")])
 
@@ -120,13 +165,12 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b): edges that connect all pairs of texts which some bucket shows to be alike by their sketches."""
+    """(a, b): edges that connect all pairs of texts which some bucket shows to be alike by sketches or tokens."""
     spark = reps.sparkSession
     found: list[DataFrame] = []
-    least = threshold - SLACK
     rows = reps.select("id", F.posexplode("paths").alias("run", "levels")).select("id", "run", F.explode(F.element_at("levels", 1)).alias("path"))
     rows = rows.select("id", "run", F.xxhash64("run", "path").alias("path"))
-    facts = reps.select("id", "size", "sketch")
+    facts = reps.select("id", "size", "sketch", "whole")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[int] = []
@@ -134,8 +178,7 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
         for t in groups(batches):
             ids, size = t.column("id").to_numpy(), t.column("size").to_numpy().astype(float)
             s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-            close = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - EXACT
-            root = forest((alike(s[:, None, :], s[None, :, :]) >= least) & close)
+            root = forest(proposed(size, s, t.column("whole").to_pylist(), threshold))
             at = np.flatnonzero(root != np.arange(len(root)))
             out_a += ids[at].tolist()
             out_b += ids[root[at]].tolist()
@@ -149,21 +192,38 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
             n = batch.num_rows
             s, lead = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in ("sketch", "lead_sketch"))
             far = batch.column("far").to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array((alike(s, lead) >= least) & ~far if n else [], pa.bool_())], names=["path", "run", "id", "lead", "near"])
+            near = (alike(s, lead) >= threshold - SLACK) & ~far if n else np.empty(0, bool)
+            size, lead_size = (batch.column(k).to_numpy() for k in ("size", "lead_size"))
+            for i in np.flatnonzero(~near & ~far & (size <= WHOLE) & (lead_size <= WHOLE)).tolist():
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint32) for k in ("whole", "lead_whole"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = common >= threshold * (len(x) + len(y) - common) - EXACT
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array(near, pa.bool_())], names=["path", "run", "id", "lead", "near"])
+
+    def compared(buckets: DataFrame) -> DataFrame:
+        """Edges of buckets(path, id), each compared in one task."""
+        each = buckets.join(facts, "id").select("path", "id", "size", "sketch", "whole")
+        return each.repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(pairs, "a long, b long").distinct()
 
     for level in range(1, LEVELS + 1):
         rows = scratch.keep(rows)
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "path").alias("h"), "id")).alias("first")).where("n > 1")
         sized = rows.join(counts, "path")
-        small = sized.where(F.col("n") <= SMALL).select("path", "id").join(facts, "id").select("path", "id", "size", "sketch")
-        found.append(scratch.keep(small.repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(pairs, "a long, b long").distinct()))
-        leaders = counts.where(F.col("n") > SMALL).select("path", F.col("first.id").alias("lead")).join(facts.select(F.col("id").alias("lead"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch")), "lead")
+        found.append(scratch.keep(compared(sized.where(F.col("n") <= SMALL).select("path", "id"))))
+        leaders = counts.where(F.col("n") > SMALL).select("path", F.col("first.id").alias("lead")).join(facts.select(F.col("id").alias("lead"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch"), F.col("whole").alias("lead_whole")), "lead")
         big = rows.join(leaders, "path").where("id <> lead").join(facts, "id")
         far = (F.least("size", "lead_size") < threshold * F.greatest("size", "lead_size") - EXACT).alias("far")
-        big = scratch.keep(big.select("path", "run", "id", "lead", "sketch", "lead_sketch", far).mapInArrow(close_to_leader, "path long, run int, id long, lead long, near boolean"))
+        big = scratch.keep(big.select("path", "run", "id", "lead", "size", "lead_size", "sketch", "lead_sketch", "whole", "lead_whole", far).mapInArrow(close_to_leader, "path long, run int, id long, lead long, near boolean"))
         found.append(big.where("near").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
         scratch.drop(rows)
-        if level == LEVELS or big.where("not near").isEmpty():
+        if big.where("not near").isEmpty():
+            break
+        if level == LEVELS:
+            # all that is left is compared, in pairs of blocks where a bucket is large
+            rest = big.where("not near").select("path", "id").distinct()
+            dealt = rest.join(rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / LAST).cast("int").alias("nb")), "path").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            found.append(scratch.keep(compared(dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "id"))))
             break
         # what is unlike the leader splits on the tokens of the next level
         deeper = reps.select("id", "paths")
@@ -194,19 +254,8 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
             ids, weight, mine = (t.column(k).to_numpy() for k in ("id", "weight", "mine"))
             tokens = t.column("tokens").combine_chunks()
             lengths = np.diff(tokens.offsets.to_numpy())
-            flat, owner = tokens.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
-            _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = times[column] > 1
-            owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-            common = np.zeros((len(ids), len(ids)), np.float32)
-            width = int(column.max()) + 1 if len(column) else 0
-            order = np.argsort(column, kind="stable")
-            owner, column = owner[order], column[order]
-            for b in range(0, width, 1024):
-                lo, hi = np.searchsorted(column, [b, b + 1024])
-                x = np.zeros((len(ids), min(1024, width - b)), np.float32)
-                x[owner[lo:hi], column[lo:hi] - b] = 1
-                common += x @ x.T
+            flat = tokens.flatten().to_numpy()
+            common = common_tokens(np.split(flat, np.cumsum(lengths)[:-1]))
             either = lengths[:, None] + lengths - common
             linked = common >= threshold * either - EXACT
             np.fill_diagonal(linked, False)
@@ -240,7 +289,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     scratch = Scratch(spark, "ngrams")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     facts = scratch.keep(scan(texts, threshold, n, True))
-    classes = facts.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    classes = facts.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("paths").alias("paths"))
     reps = scratch.keep(classes)
     edges = candidate_edges(reps, threshold, scratch)
     comps = scratch.keep(components(spark, edges, scratch))

@@ -66,6 +66,17 @@ def test_ngram_join_equals_brute_force(spark, corpus, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_keeps_short_pairs(spark):
+    """Pairs of 8 common shingles of 10 in all, which sketches of few shingles misjudge."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        parts = [f"p{i}q{rng.randrange(10**6)}" for _ in range(13)]
+        rows += [(2 * i, " ".join(parts), "s", 0), (2 * i + 1, " ".join(["x", *parts[1:]]), "s", 0)]
+    found = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [x for x, n in found.items() if n != 1] == []
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], DOCS)).count() == 0
 
