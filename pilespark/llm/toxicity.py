@@ -21,8 +21,8 @@ FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Pseudo-count of a token's prior; score that every token loses, so that clean text drifts down; least counts kept.
 PRIOR, DRIFT, LEAST_TOXIC, LEAST_CLEAN = 1.0, 0.25, 5, 50
-#: Occurrences of one word in one text that count, in learning and in scoring: words come in bursts.
-BURST = 3
+#: Occurrences of one word that count: in learning in one text, in scoring within NEAR words, for words come in bursts.
+BURST, NEAR = 3, 50
 #: Expected number of as good segments in clean text of the same length below which a passage is significant.
 E_VALUE = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -110,7 +110,7 @@ def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> float
 def features(text: str, model: Model, memo: dict[str, float]) -> tuple[list[str], np.ndarray, list[tuple[int, int, float]], tuple[float, float]]:
     words = WORD.findall(text.lower())
     get, score = memo.get, model.score
-    burst: dict[str, int] = {}
+    burst: dict[str, list[int]] = {}
     values = np.empty(len(words))
     for i, w in enumerate(words):
         if (x := get(w)) is None:
@@ -118,9 +118,12 @@ def features(text: str, model: Model, memo: dict[str, float]) -> tuple[list[str]
                 memo.clear()
             x = memo[w] = score(w)
         if x > 0:
-            n = burst[w] = burst.get(w, 0) + 1
-            if n > BURST:
+            last = burst.setdefault(w, [])  # places of the last BURST that counted
+            if len(last) == BURST and i - last[0] < NEAR:
                 x = -DRIFT
+            else:
+                del last[: 1 - BURST]
+                last.append(i)
         values[i] = x
     found = segments(values)
     strong = evidence(found, len(words), model)

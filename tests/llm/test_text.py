@@ -118,6 +118,16 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.toxicity(frame, empty).where("predicted = 1").count() == 0
 
 
+def test_passages_do_not_depend_on_the_text_before():
+    model = toxicity.Model(odds={"vile": 3.0}, lam=1.0, k=0.1)
+    early = " ".join("vile" if i % 60 == 0 else "calm" for i in range(400))
+    late = "calm " * 60 + "vile " * 5 + "calm " * 60 + "vile"
+    _, alone, _, _ = toxicity.features(late, model, {})
+    _, values, _, _ = toxicity.features(early + " " + late, model, {})
+    assert (alone > 0).sum() == 4 and (values[400:] == alone).all()
+    assert (values[:400:60] > 0).all()
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(2)
     make = lambda n: [f"t{rng.randrange(5000)}" for _ in range(n)]
