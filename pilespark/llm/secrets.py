@@ -21,11 +21,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: A name, an operator, and what follows: quoted parts joined by + or ., another name, or a bare word of a config file.
-STATEMENT = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})(?:\[["'](?P<item>[A-Za-z0-9_.-]{1,80})["']\])?["']?[\x20\t]{0,8}(?P<op>:=|=>|=(?!=)|:(?!:))[\x20\t]{0,8}"""
-    r"""(?P<rhs>(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}')(?:[\x20\t]{0,8}[+.][\x20\t]{0,8}(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}'|[A-Za-z_][A-Za-z0-9_.]{0,80}))*|[^\s"',;(){}\[\]<>|]{1,4096})"""
-)
+#: A name and an operator, from the beginning of a run of name characters, so that a run is read once. No length is
+#: bounded: what is repeated is possessive.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:\[["'](?P<item>[A-Za-z0-9_.-]++)["']\])?+["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+""")
+#: What follows: quoted parts joined by + or ., or else another name or a bare word of a config file.
+QUOTED = re.compile(r"""(?:"[^"\n]*+"|'[^'\n]*+')(?:[\x20\t]*+[+.][\x20\t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[A-Za-z_][A-Za-z0-9_.]*+))*+""")
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>|]++""")
+REFERENCE = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
 PART = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.]*)""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Weights of words of a target name: fixed values.
@@ -42,12 +44,36 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """Up to 4: length, bits a character, mixed character classes; a placeholder or prose scores below 0."""
-    n = len(value)
-    if n < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or PLACEHOLDER.match(value):
         return -9.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, n / 16) + min(2.0, bits / 2) + (0.5 * (classes - 1) if re.search("[0-9]", value) else -0.5)
+    return counted_score(Counter(value), len(value))
+
+
+def counted_score(counts: Counter, n: int) -> float:
+    """literal_score() of n characters that are no placeholder, from their counts."""
+    if n < 8 or any(c.isspace() for c in counts):
+        return -9.0
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    distinct = "".join(counts)
+    classes = sum(bool(re.search(p, distinct)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, n / 16) + min(2.0, bits / 2) + (0.5 * (classes - 1) if re.search("[0-9]", distinct) else -0.5)
+
+
+def statements(text: str) -> Iterator[tuple[re.Match, int, int]]:
+    """(name and operator, begin, end of the right side) of each statement, those within a right side too."""
+    at = end = 0
+    while m := HEAD.search(text, at):
+        begin = m.end()
+        if text[begin : begin + 1] in ("'", '"'):
+            if q := QUOTED.match(text, begin):
+                yield m, begin, q.end()
+        else:
+            if begin >= end:  # else within the bare word read last, with which it ends
+                q = BARE.match(text, begin)
+                end = q.end() if q else begin
+            if end > begin:
+                yield m, begin, end
+        at = begin
 
 
 def named_literals(text: str) -> list[tuple[int, int]]:
@@ -61,25 +87,36 @@ def named_literals(text: str) -> list[tuple[int, int]]:
         return []
     bound: dict[str, list[tuple[int, list]]] = {}
     uses: list[tuple[str, int, list]] = []
-    for m in STATEMENT.finditer(text):
+    bare: dict[int, list[int]] = {}
+    for m, at, end in statements(text):
         name = m["item"] or m["name"]
-        rhs, at = m["rhs"], m.start("rhs")
-        if rhs[0] in "\"'":
-            parts = [(p.group(), at + p.start(), at + p.end()) if p[3] is not None else (None, at + p.start() + 1, at + p.end() - 1) for p in PART.finditer(rhs)]
-        elif re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", rhs):
-            parts = [(rhs, at, at + len(rhs)), (None, at, at + len(rhs))]
+        if text[at] in "\"'":
+            parts = [(p.group(), p.start(), p.end()) if p[3] is not None else (None, p.start() + 1, p.end() - 1) for p in PART.finditer(text, at, end)]
+        elif REFERENCE.fullmatch(text, at, end):
+            parts = [(text[at:end], at, end), (None, at, end)]
         else:
-            parts = [(None, at, at + len(rhs))]
+            parts = [(None, at, end)]
+            bare.setdefault(end, []).append(at)
         bound.setdefault(m["name"].rpartition(".")[2], []).append((at, parts))
         uses.append((name, at, parts))
     found: dict[tuple[int, int], float] = {}
+    scores: dict[tuple[int, int], float] = {}
+    for end, begins in bare.items():
+        if len(begins) > 1:  # bare words within one another are counted once, from the last on
+            counts, after = Counter(), end
+            for b in reversed(begins):
+                counts.update(text[b:after])
+                after = b
+                scores[b, end] = -9.0 if PLACEHOLDER.match(text[b:end]) else counted_score(counts, end - b)
 
     def reach(parts: list, seen: frozenset, by: float, at: int) -> None:
         if len(parts) == 2 and parts[0][0] is not None and parts[0][1:] == parts[1][1:]:
             known = parts[0][0].rpartition(".")[2] in bound  # a bare word: a reference if something has that name
             parts = parts[:1] if known else parts[1:]
-        whole = "".join(text[b:e] for ref, b, e in parts if ref is None)
-        fits = literal_score(whole) if whole else -9.0
+        fits = scores.get(parts[0][1:]) if len(parts) == 1 and parts[0][0] is None else None
+        if fits is None:
+            whole = "".join(text[b:e] for ref, b, e in parts if ref is None)
+            fits = literal_score(whole) if whole else -9.0
         for ref, b, e in parts:
             if ref is None:
                 if fits + by >= LEAST_SCORE:

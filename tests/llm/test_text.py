@@ -65,6 +65,28 @@ def test_named_literals_follow_constants():
     assert [config[b:e] for b, e in secrets.named_literals(config)] == ["q8Zr-77Tk_pLx92m"]
 
 
+def test_named_literals_have_no_length_or_nesting_bounds():
+    value = "xY9$kLm2pQ4rT"
+    spans = lambda text: [text[b:e] for b, e in secrets.named_literals(text)]
+    long = value * 400
+    assert spans(f'db_pwd = "{long}"') == [long] and spans(f"db_pwd={long}") == [long]
+    assert spans(f'DB_PWD            =            "{value}"') == [value]
+    assert spans(f"{'a' * 200}_pwd = '{value}'") == [value]
+    assert spans(f'env: DB_PWD="{value}"') == [value]
+    assert spans(f"Note: DB_PWD={value}") == [value]
+    assert spans(f'run = "export DB_PWD={value}"') == [value]
+    assert spans(f"password=my_pwd={value}") == [f"my_pwd={value}", value]
+
+
+def test_named_literals_take_linear_time():
+    import time
+
+    for text in ("a" * 400_000, "key=" * 40_000, "pwd: " * 40_000, 'a="' * 100_000, "x['" * 100_000, "a" + " " * 400_000 + "b"):
+        begin = time.process_time()
+        secrets.named_literals(text)
+        assert time.process_time() - begin < 20
+
+
 @pytest.mark.parametrize("block", [2048, 4])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
