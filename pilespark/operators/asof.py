@@ -32,15 +32,13 @@ def line_ranges(pairs: DataFrame, windows: DataFrame, file_size: int) -> DataFra
     """pairs(line_0, line_1) with the compressed bytes range_0, range_1 that hold these lines.
 
     windows(line_number, compressed_byte) index a file sparsely: a range starts at the last window at or before line_0
-    (else at 0) and ends at the first window at or after line_1 (else at the end). The index of one file is small, so it
-    is gathered into one sorted array and searched in place.
+    (else at 0) and ends at the first window at or after line_1 (else at the end). Both ends are as-of lookups, so the time
+    is that of two sorts, however long the index.
     """
-    index = windows.agg(F.array_sort(F.collect_list(F.struct(F.col("line_number").cast("long").alias("line"), F.col("compressed_byte").cast("long").alias("byte")))).alias("index"))
-    after = F.get(F.filter("index", lambda w: w["line"] >= F.col("line_1")), F.lit(0))
-    before = F.filter("index", lambda w: w["line"] <= F.col("line_0"))
-    found = pairs.crossJoin(F.broadcast(index))  # one row
-    begin = F.coalesce(F.try_element_at(before, F.lit(-1))["byte"], F.lit(0))
-    return found.select(*pairs.columns, begin.cast("long").alias("range_0"), F.coalesce(after["byte"], F.lit(file_size)).cast("long").alias("range_1"))
+    at = lambda line: windows.select(F.col("line_number").cast("long").alias(line), F.col("compressed_byte").cast("long").alias("byte"))
+    found = as_of(pairs, at("line_0"), "line_0", (), ("byte",), tie=F.col("byte")).withColumnRenamed("byte_asof", "range_0")
+    found = as_of(found, at("line_1"), "line_1", (), ("byte",), forward=True, tie=F.col("byte"))
+    return found.select(*pairs.columns, F.coalesce("range_0", F.lit(0)).cast("long").alias("range_0"), F.coalesce("byte_asof", F.lit(file_size)).cast("long").alias("range_1"))
 
 
 def nearest(windows: DataFrame, line: int) -> DataFrame:

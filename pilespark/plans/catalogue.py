@@ -66,6 +66,14 @@ def union_parts(spark, sf_dir):
     return merge.union_parts(pick("line_no <= 2"), pick("line_no > 5"))
 
 
+@query("select chrom, pos, depth, bases from {obs}")
+def union_parts_all(spark, sf_dir):
+    """Two parts that make the whole."""
+    obs = lens(spark, sf_dir, "obs")
+    pick = lambda c: obs.where(c).select("chrom", "pos", "depth", "bases")
+    return merge.union_parts(pick("line_no <= 2"), pick("line_no > 2"))
+
+
 COUNTS = """
     select chrom, pos, ref, count(*) as depth, count(*) filter (bases in ('.', ',')) as n_ref,
            count(*) filter (b = 'A') as n_a, count(*) filter (b = 'C') as n_c, count(*) filter (b = 'G') as n_g, count(*) filter (b = 'T') as n_t,
@@ -400,6 +408,23 @@ def line_byte_ranges(spark, sf_dir):
     return asof.line_ranges(pairs, windows, 999_999_999)
 
 
+@query("""
+    with p as (select l_orderkey as line_0, l_orderkey + 400 as line_1 from lineitem group by 1),
+    w as (select o_orderkey as line, max(o_orderkey * 31) as byte from orders group by 1)
+    select line_0, line_1, coalesce(b.byte, 0) as range_0, coalesce(e.byte, 999999999) as range_1
+    from p asof left join w b on p.line_0 >= b.line asof left join w e on p.line_1 <= e.line""")
+def line_byte_ranges_all(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line_0"), (F.col("l_orderkey") + 400).alias("line_1")).distinct()
+    windows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_number"), (F.col("o_orderkey") * 31).alias("compressed_byte"))
+    return asof.line_ranges(pairs, windows, 999_999_999)
+
+
+@query('select arg_min("window", (abs(line - 1234), line)) as "window" from (select o_custkey as "window", o_orderkey as line from orders) x')
+def nearest_window_all(spark, sf_dir):
+    windows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("line_number"))
+    return asof.nearest(windows, 1234)
+
+
 @query('select arg_min("window", (abs(line - 1234), line)) as "window" from (select o_custkey as "window", o_orderkey as line from orders where o_orderkey % 50 = 7) x')
 def nearest_window(spark, sf_dir):
     windows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 7").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("line_number"))
