@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of whole texts: with texts of 100 KB a batch holds 25 MB.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes at which an Arrow batch ends. Every operator sets the same, for the session's value at run time counts.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """Bound what one Arrow batch can hold in a Python worker: rows up to BATCH_BYTES, and the one that goes beyond."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -27,9 +29,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; made only where the session names none."""
+    """The folder that the driver and all executors share; made only where the session names none and is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         root = tempfile.mkdtemp(prefix="pilespark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -80,26 +85,29 @@ def small(df: DataFrame, rows: int, array: str | None = None) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each node of the undirected edges (a, b) with the smallest node of its component.
 
-    Alternates the large-star and small-star steps of distributed union-find until no edge changes. Minima are
-    aggregated before the shuffle and joined back, so a node with many neighbours is never gathered in one task.
-    Loops and repeated edges do no harm; a node that only has a loop is its own root.
+    Alternates the large-star and small-star steps of distributed union-find until no edge changes. Edges are kept with
+    the greater node first; minima are aggregated before the shuffle, written, and joined back as a table, so that both
+    sides of the join come straight from a shuffle and adaptive execution can split what a node with many neighbours
+    brings. Loops and repeated edges do no harm; a node that only has a loop is its own root.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    least_of = lambda df: scratch.keep(df.groupBy("u").agg(F.min("v").alias("m")))
     before = None
     while True:
-        # large-star: every neighbour above a node moves to the least node around it
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large-star: every neighbour above a node moves to the least node around it, which is the node itself if it
+        # has no neighbour below
+        least = least_of(now)
+        large = scratch.keep(now.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         # small-star: every neighbour below a node, and the node, move to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = scratch.keep(small.select("e.u", "e.v").where("u <> v").distinct())
+        low = least_of(large)
+        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = scratch.keep(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, low)
         now = after
         if tuple(state) == before:
             break
         before = tuple(state)
-    return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    # in the end each edge leads from a node to its root
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, text_batches
 
 #: Words that a bin holds, documents of one source that a bin may hold, and documents that are packed together.
 CAPACITY, SOURCE_QUOTA, SHARD_ROWS = 2048, 4, 8192
@@ -121,5 +121,5 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOT
         if held:
             yield shard_rows(now, held)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    text_batches(spark)
     return dealt.select("shard", "doc_id", "source", "n", "cluster").repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard").mapInArrow(run, schema)
