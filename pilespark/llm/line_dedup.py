@@ -1,42 +1,25 @@
-"""Near-duplicate lines removed across all documents.
-
-Signing and comparing lines is done in Arrow functions: as DataFrame functions, the signatures of all 9-character
-substrings alone take over three times what the whole query may (README, with figures). All else is DataFrame functions.
-"""
+"""Near-duplicate lines removed across all documents, with DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
-from .common import Scratch, components, partitions, small, text_batches
-from .ngram_join import common_tokens, groups
-from .shingles import mix
+from .common import Scratch, components, small
 
 #: Characters of a shingle; bands of a signature and minima in a band: at a similarity of 0.8 a pair shares a band with
-#: probability 1 - (1 - 0.8 ** 3) ** 10 = 0.999 if minima are independent. The minima are the first of BINS.
-SHINGLE, BANDS, WIDTH, BINS = 9, 10, 3, 32
-#: Characters that are hashed at once.
-SLICE = 1 << 15
-#: Lines of a block; buckets with lines unlike their pivot are compared in pairs of blocks.
-BLOCK = 256
-#: Lines up to which a group is compared pair by pair, not as a matrix.
-FEW = 24
+#: probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997 if minima are independent.
+SHINGLE, BANDS, WIDTH = 9, 8, 3
+BINS = BANDS * WIDTH
+#: Expected shingles of a line among which the minima of its bins are sought: a line of more shingles looks at those whose
+#: hash is below a bound. Bins from which an empty one borrows, before it takes the first that is full.
+SOUGHT, TRIES = 72, 6
+#: Lines of a block, and characters in one of them; buckets with lines unlike their pivot are compared in pairs of blocks.
+BLOCK, BLOCK_CHARS = 128, 1 << 18
 #: Rows of a few longs that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Lines that are held against one copy of their pivot, and that hang on one node in the edges.
 SHARE = 256
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: For each bin the order in which an empty one borrows from others.
-BORROW = np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
-NONE = np.uint64(2**64 - 1)
-#: Factors of the halves that a longer hash is made from, by their length.
-STEPS = {n: mix(np.array([n], np.uint64))[0] | np.uint64(1) for n in (1, 2, 4)}
 
 
 def let(value: Column, body) -> Column:
@@ -44,193 +27,103 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    """mix() in place, but for its temporaries."""
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-#: Hashes of the code points below its length; others are computed.
-CODES = mix(np.arange(1, 1 << 14, dtype=np.uint64) * GOLDEN)
-
-
-def code_hashes(codes: np.ndarray) -> np.ndarray:
-    h = CODES[np.minimum(codes, len(CODES) - 1)]
-    far = np.flatnonzero(codes >= len(CODES))
-    if len(far):
-        h[far] = mix((codes[far].astype(np.uint64) + np.uint64(1)) * GOLDEN)
-    return h
-
-
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of the SHINGLE consecutive values from each position on."""
-    if len(codes) < SHINGLE:
-        return np.empty(0, np.uint64)
-    first, n = code_hashes(codes), 1
-    h = first
-    while n < SHINGLE - 1:
-        after = h[n:]
-        h = h[: len(h) - n] * STEPS[n]
-        h += after
-        n *= 2
-    h = h[: len(codes) - n] * np.uint64(0xD1342543DE82EF95)
-    h += first[n:]
-    return scramble(h)
-
-
-def short_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """One hash for each line of under SHINGLE characters."""
-    at = np.arange(SHINGLE - 1)
-    inside = at < lengths[:, None]
-    values = np.where(inside, mix((codes[np.minimum(starts[:, None] + at, len(codes) - 1)].astype(np.uint64) + np.uint64(1)) * GOLDEN), np.uint64(0))
-    return mix((values * (mix(at.astype(np.uint64) + np.uint64(77)) | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.uint64(5))
-
-
-def filled(least: np.ndarray) -> np.ndarray:
-    """Minima of bins, where an empty bin takes the one of the first full bin in its order; lines have one at least."""
-    row, column = np.nonzero(least == NONE)
-    out = least.copy()
-    for t in range(BINS):
-        if not len(row):
-            break
-        lent = least[row, BORROW[column, t]]
-        out[row, column] = lent
-        still = lent == NONE
-        row, column = row[still], column[still]
-    return out
-
-
-def bands(lines: list[str]) -> np.ndarray:
-    """Band hashes of each line's MinHash signature, BANDS a line."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends = np.cumsum(lengths)
-    least = np.full((len(lines), BINS), NONE)
-    flat = least.reshape(-1)
-    for first, last in chunks(lengths):
-        begin, end = int(ends[first] - lengths[first]), int(ends[last - 1])
-        row = np.repeat(np.arange(first * BINS, last * BINS, BINS), lengths[first:last])
-        # the shingles that a line's last characters begin go beyond it
-        outside = (ends[first:last, None] - np.arange(1, SHINGLE)).reshape(-1)
-        outside = np.sort(outside[outside >= begin])
-        for b in range(begin, end, SLICE):
-            g = gram_hashes(codes[b : min(end, b + SLICE + SHINGLE - 1)])
-            lo, hi = np.searchsorted(outside, [b, b + len(g)])
-            g[outside[lo:hi] - b] = NONE
-            bins = (g >> np.uint64(59)).view(np.int64)
-            bins += row[b - begin : b - begin + len(g)]
-            np.minimum.at(flat, bins, g)
-    few = np.flatnonzero(lengths < SHINGLE)
-    if len(few):
-        g = short_hashes(codes, (ends - lengths)[few], lengths[few])
-        least[few, (g >> np.uint64(59)).astype(np.int64)] = g
-    factors = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-    picks = filled(least)[:, : BANDS * WIDTH].reshape(len(lines), WIDTH, BANDS)
-    return mix((picks * factors[:, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * GOLDEN).view(np.int64)
-
-
-def chunks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of lines of some SLICE characters each; a longer line is one by itself."""
-    begin = held = 0
-    for i, n in enumerate(lengths.tolist()):
-        if held and held + n > SLICE:
-            yield begin, i
-            begin = i
-            held = 0
-        held += n
-    if begin < len(lengths):
-        yield begin, len(lengths)
-
-
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, salt, text) -> doc, salt, at, h1, h2, bands of the lines that are not blank.
-
-    Bands come with a line's first occurrence in a batch only, for others would say the same.
+def code_points(line: Column) -> Column:
+    """Four bytes a character, so that a substring is found without a walk."""
+    return F.encode(line, "UTF-32")
+
+
+def starts(codes: Column) -> Column:
+    """Places of the SHINGLE-character substrings; a shorter line has one, itself."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(codes) / 4).cast("int") - SHINGLE))
+
+
+def shingle(codes: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def shingles(line: Column) -> Column:
+    """The distinct hashes of all SHINGLE-character substrings of a line."""
+    return let(code_points(line), lambda b: F.array_distinct(F.transform(starts(b), lambda i: shingle(b, i))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct hashes."""
+    ratio = lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n))
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
+
+
+def occurrences(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns, line, h1 and h2 of all lines of docs(text, ...) that are not blank; h1 and h2 name a line."""
+    lines = docs.select(*(c for c in columns if c != "at"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"\S"))
+    return lines.select(*columns, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(h1, h2, n, bands) of each distinct line of docs(text): how often it stands, and the bands of its MinHash signature.
+
+    The hashes of all its shingles are dealt to BINS bins, and each bin gives its least. They are rows that one generated
+    loop makes, hashes and aggregates, not arrays. An empty bin borrows from others in an order of its own, so that short
+    lines agree in a bin with the probability that is their similarity, too.
+    """
+    n = F.greatest(F.lit(1.0), F.length("codes") / 4 - (SHINGLE - 1))
+    bound = (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), SOUGHT / n)).cast("long")  # of signed hashes
+    lines = occurrences(docs).select("h1", "h2", code_points(F.col("line")).alias("codes"))
+    rows = lines.select("h1", "h2", "codes", bound.alias("bound"), F.explode(starts(F.col("codes"))).alias("at"))
+    rows = rows.select("h1", "h2", "bound", "at", shingle(F.col("codes"), F.col("at")).alias("h")).where("h <= bound or at = 0")
+    least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
+    lines = rows.groupBy("h1", "h2").agg(F.count(F.when(F.col("at") == 0, 1)).alias("n"), *least)
+    any_ = F.coalesce(*(F.col(f"m{j}") for j in range(BINS))).alias("any")
+    lend = lambda j: F.coalesce(F.col(f"m{j}"), *(F.col(f"m{(j + (j % 5 + 1) * (2 * t + 1) + t * t) % BINS}") for t in range(TRIES)), F.col("any"))
+    filled = lines.select("h1", "h2", "n", *(f"m{j}" for j in range(BINS)), any_).select("h1", "h2", "n", *(lend(j).alias(f"f{j}") for j in range(BINS)))
+    bands = F.array(*(F.xxhash64(F.lit(j), *(F.col(f"f{j + k * BANDS}") for k in range(WIDTH))) for j in range(BANDS)))
+    return filled.select("h1", "h2", "n", bands.alias("bands"))
+
+
+def forest(lines: Column, threshold: float) -> Column:
+    """For each of lines (array<struct<id, alike, set>>) the first that it is connected with by pairs of like lines.
+
+    Pairs of two lines that are alike to the pivot are left out. A fold: each line takes the least label of the earlier
+    ones that it is like, and so do all with these labels.
     """
-    for batch in batches:
-        row, at, names, new = [], [], [], []
-        known: set[bytes] = set()
-        lines: list[str] = []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            for k, line in enumerate(text.split("\n")):
-                if line and not line.isspace():
-                    row.append(i)
-                    at.append(k)
-                    names.append(name := xxh3_128_digest(line.encode()))
-                    new.append(name not in known)
-                    if new[-1]:
-                        known.add(name)
-                        lines.append(line)
-        name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-        found = bands(lines).reshape(-1) if lines else np.empty(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(new) * BANDS]).astype(np.int32)
-        rows = pa.array(row, pa.int64())
-        columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.ListArray.from_arrays(offsets, found)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "salt", "at", "h1", "h2", "bands"])
-
-
-def shingles(lines: list[str]) -> list[np.ndarray]:
-    """Sorted distinct hashes of all SHINGLE-character substrings of each line; a shorter one has one, itself."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    lengths = np.array([len(x) for x in lines], np.int64)
-    ends = np.cumsum(lengths)
-    g = np.concatenate([gram_hashes(codes[b : b + SLICE + SHINGLE - 1]) for b in range(0, len(codes), SLICE)] or [np.empty(0, np.uint64)])
-    few = np.flatnonzero(lengths < SHINGLE)
-    short = dict(zip(few.tolist(), short_hashes(codes, (ends - lengths)[few], lengths[few]) if len(few) else (), strict=True))
-    out = []
-    for i, (n, e) in enumerate(zip(lengths.tolist(), ends.tolist(), strict=True)):
-        if n < SHINGLE:
-            out.append(np.array([short[i]], np.uint64))
-        else:
-            x = np.sort(g[e - n : e - SHINGLE + 1])
-            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
-    return out
-
-
-def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common >= threshold * (len(a) + len(b) - common) - 1e-9
-
-
-def similar_lines(rows: DataFrame, texts, threshold: float, scratch: Scratch) -> DataFrame:
-    """Verified edges (a, b) that connect all like lines which share a band; rows(h1, bands) may repeat lines.
+
+    def like(i: Column, j: Column) -> Column:
+        a, b = F.get(lines, i), F.get(lines, j)
+        close = F.least(F.size(a["set"]), F.size(b["set"])) >= threshold * F.greatest(F.size(a["set"]), F.size(b["set"]))
+        return F.when(~(a["alike"] & b["alike"]) & close, jaccard(a["set"], b["set"]) >= threshold).otherwise(False)
+
+    def step(labels: Column, i: Column) -> Column:
+        near = F.transform(F.filter(F.sequence(F.lit(0), i - 1), lambda j: like(i, j)), lambda j: F.get(labels, j))
+        joined = lambda x: F.concat(F.transform(labels, lambda y: F.when(F.array_contains(x, y), F.array_min(x)).otherwise(y)), F.array(F.coalesce(F.array_min(x), i)))
+        return let(near, joined)
+
+    order = F.when(F.size(lines) > 1, F.sequence(F.lit(1), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(order, F.array(F.lit(0)), step)
+
+
+def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -> DataFrame:
+    """Verified edges (a, b) that connect all like lines which share a band, between lines(id, bands).
 
     texts(ids) gives the lines (id, line) of some ids. All lines that share a band are compared with the least of them,
     its pivot; where all are like it the bucket is connected. In the other buckets each line unlike the pivot is compared
     with all lines of its bucket, so no pair that shares a band is left out. A bucket is dealt out in pairs of blocks of
-    BLOCK lines, so a task holds two blocks however large the bucket; the comparisons grow with the unlike lines times
-    the lines of a bucket. A pivot's line is copied once for each SHARE lines that are held against it.
+    some BLOCK lines, so a task holds two blocks however large the bucket, and a pair of blocks gives a forest, not its
+    pairs; the comparisons grow with the unlike lines times the lines of a bucket. A pivot's line is copied once for each
+    SHARE lines that are held against it.
     """
-    spark = rows.sparkSession
-    banded = rows.select(F.col("h1").alias("id"), F.explode("bands").alias("key"))
+    banded = lines.select("id", F.explode("bands").alias("key"))
     # most keys belong to one line
     keys = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot"))
     met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").where("id <> pivot").distinct())
     held = scratch.keep(texts(scratch.keep(met.select("id").union(met.select("pivot")).distinct())))
-    pairs = met.groupBy("pivot", "id").agg(F.lit(1).alias("one")).select("pivot", "id")
+    pairs = met.select("pivot", "id").distinct()
     counted = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
     lead = counted.join(held.withColumnRenamed("id", "pivot").withColumnRenamed("line", "other"), "pivot")
-    lead = scratch.keep(lead.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "shares", "other"))
+    lead = scratch.keep(lead.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other"))
     many = scratch.keep(counted.where("shares > 1"))
     dealt = pairs.join(small(many, BROADCAST_ROWS), "pivot", "left").join(held, "id")
     dealt = dealt.select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "id", "line")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pivots = batch.column("pivot").to_pylist()
-            others = dict(zip(pivots, batch.column("other").to_pylist(), strict=True))
-            theirs = dict(zip(others, shingles(list(others.values())), strict=True))
-            found = [alike(x, theirs[p], threshold) for x, p in zip(shingles(batch.column("line").to_pylist()), pivots, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("id", "pivot", "share")), pa.array(found, pa.bool_())], names=["id", "pivot", "share", "alike"])
-
-    judged = scratch.keep(dealt.join(lead.drop("shares"), ["pivot", "share"]).mapInArrow(judge, "id long, pivot long, share int, alike boolean"))
+    judged = dealt.join(lead, ["pivot", "share"]).select("id", "pivot", "share", (jaccard(shingles(F.col("line")), shingles(F.col("other"))) >= threshold).alias("alike"))
+    judged = scratch.keep(judged)
     # a pivot with many lines is joined through one line of each share, so that no node has too many neighbours
     near = judged.where("alike")
     heads = near.groupBy("pivot", "share").agg(F.min("id").alias("head"))
@@ -238,38 +131,20 @@ def similar_lines(rows: DataFrame, texts, threshold: float, scratch: Scratch) ->
     if judged.where("not alike").isEmpty():
         return found
     # buckets with a line unlike the pivot; of three lines or more, for the pivot itself has been compared with all
-    rest = met.join(judged.select("id", "pivot", "alike"), ["id", "pivot"]).select("key", "id", "alike")
-    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("alike"), 1)).alias("unlike"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("lines")).where("n > 1 and unlike > 0")
+    rest = met.join(judged.select("id", "pivot", "alike"), ["id", "pivot"]).join(held.select("id", F.length("line").alias("chars")), "id").select("key", "id", "alike", "chars")
+    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count(F.when(~F.col("alike"), 1)).alias("unlike"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids")).where("n > 1 and unlike > 0")
     # of the buckets with the same lines, as several bands give, one is enough
-    mixed = scratch.keep(mixed.groupBy("n", "unlike", "lines").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rest = scratch.keep(rest.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
+    mixed = mixed.groupBy("n", "unlike", "chars", "ids").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    rest = scratch.keep(rest.select("key", "id", "alike").join(scratch.keep(mixed), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
     # every block meets each block with an unlike line
-    open_ = rest.where("not alike").select("key", F.col("mine").alias("open")).distinct()
-    met_by = rest.select("key", "id", "alike", "mine", "blocks").join(open_, "key")
-    unlike = rest.where("not alike").select("key", "id", "alike", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> mine")
-    name = lambda i, j: F.xxhash64("key", i, j)
-    sides = met_by.select(name("open", "mine").alias("group"), "id", "alike", (F.col("mine") == F.col("open")).alias("left"))
-    sides = sides.union(unlike.select(name("mine", "other").alias("group"), "id", "alike", F.lit(True))).groupBy("group", "id", "alike", "left").agg(F.lit(1).alias("one"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches):
-            ids, settled = t.column("id").to_numpy(), t.column("alike").to_numpy(zero_copy_only=False)
-            if settled.all() or len(ids) < 2:
-                continue
-            sets = shingles(t.column("line").to_pylist())
-            if len(ids) <= FEW:
-                pairs = [(i, j) for i in range(len(ids)) for j in range(i) if not (settled[i] and settled[j]) and alike(sets[i], sets[j], threshold)]
-                a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-            else:
-                n = np.array([len(x) for x in sets])
-                common = common_tokens(sets)
-                linked = common >= threshold * (n[:, None] + n - common) - 1e-6
-                a, b = np.nonzero(np.triu(linked & ~(settled[:, None] & settled), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    lined = sides.select("group", "id", "alike").join(held, "id").select("group", "id", "alike", "line")
-    more = lined.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
-    return found.union(more.where("a <> b").distinct())
+    group = lambda i, j: F.xxhash64("key", F.least(i, j), F.greatest(i, j)).alias("group")
+    unlike = rest.where("not alike")
+    asked = rest.select("key", "id", "alike", "mine").join(unlike.select("key", F.col("mine").alias("open")).distinct(), "key").select(group("mine", "open"), "id", "alike")
+    asking = unlike.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "alike")
+    lined = asked.union(asking).distinct().join(held, "id").select("group", F.struct("id", "alike", shingles(F.col("line")).alias("set")).alias("x"))
+    grouped = lined.groupBy("group").agg(F.collect_list("x").alias("lines")).select("lines", forest(F.col("lines"), threshold).alias("labels"))
+    linked = grouped.select(F.explode(F.transform("labels", lambda k, i: F.struct(F.get("lines", i)["id"].alias("a"), F.get("lines", k)["id"].alias("b")))).alias("e"))
+    return found.union(linked.select("e.a", "e.b").where("a <> b").distinct())
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,36 +160,31 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     gives none.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     scratch = Scratch(spark, "lines")
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"), F.col(text_col).alias("text"))
-    every = scratch.keep(named.where("text is not null").mapInArrow(sign, "doc long, salt long, at int, h1 long, h2 long, bands array<long>"))
-    place = F.struct(F.col("doc").isNull().alias("last"), "doc", "salt", "at")
-    with_places = lambda df, extra: df.select(F.col("doc").alias("d"), F.col("salt").alias("s"), extra)
-    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"), F.col(text_col).alias("text")).where("text is not null")
+    lines = scratch.keep(signatures(named))
 
     def texts(ids: DataFrame) -> DataFrame:
-        """(id, line) of the ids, cut from the first text that holds each."""
-        first = every.select("h1", place.alias("place")).join(small(ids.withColumnRenamed("id", "h1"), BROADCAST_ROWS), "h1", "left_semi").groupBy("h1").agg(F.min("place").alias("place"))
-        asked = first.groupBy("place.doc", "place.salt").agg(F.collect_list(F.struct("place.at", "h1")).alias("asked"))
-        asked = scratch.keep(with_places(asked, F.col("asked")))
-        cut = let(F.split("text", "\n", -1), lambda lines: F.transform("asked", lambda x: F.struct(x["h1"].alias("id"), F.get(lines, x["at"]).alias("line"))))
-        return named.join(small(asked, BROADCAST_ROWS, "asked"), same).select(F.explode(cut).alias("x")).select("x.id", "x.line").dropDuplicates(["id"])
-
-    edges = scratch.keep(similar_lines(every.select("h1", "bands"), texts, threshold, scratch))
-    roots = scratch.keep(components(spark, edges, scratch))
-    multi = scratch.keep(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.lit(True).alias("again")))
-    lines = every.select("doc", "salt", "at", "h1", "h2")
-    lines = lines.join(small(roots.select(F.col("node").alias("h1"), "root"), BROADCAST_ROWS), "h1", "left").join(small(multi, BROADCAST_ROWS), ["h1", "h2"], "left")
-    touched = scratch.keep(lines.where("root is not null or again").select("doc", "salt", "at", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2")))
-    stay = scratch.keep(touched.groupBy("c1", "c2").agg(F.min(place).alias("x")).select(F.col("x.doc").alias("d"), F.col("x.salt").alias("s"), F.col("x.at").alias("a")))
-    gone = touched.join(small(stay, BROADCAST_ROWS), same & (F.col("at") == F.col("a")), "left_anti")
-    removed = scratch.keep(with_places(gone.groupBy("doc", "salt").agg(F.collect_set("at").alias("gone")), F.col("gone")))
+        """(id, line) of the ids."""
+        every = occurrences(named).select(F.col("h1").alias("id"), "line")
+        return every.join(small(ids, BROADCAST_ROWS), "id", "left_semi").dropDuplicates(["id"])
+
+    # half a name is enough to propose pairs; equal lines are told by both halves
+    edges = scratch.keep(similar_lines(lines.select(F.col("h1").alias("id"), "bands"), texts, threshold, scratch))
+    roots = components(spark, edges, scratch).select(F.col("node").alias("h1"), "root")
+    touched = lines.select("h1", "h2", "n").join(roots, "h1", "left").where("root is not null or n > 1")
+    touched = scratch.keep(touched.select("h1", "h2", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2")))
+    places = scratch.keep(occurrences(named, "doc", "salt", "at").drop("line").join(small(touched, BROADCAST_ROWS), ["h1", "h2"]).select("doc", "salt", "at", "c1", "c2"))
+    first = places.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "salt", "at")).alias("x"))
+    stay = scratch.keep(first.select(F.col("x.doc").alias("d"), F.col("x.salt").alias("s"), F.col("x.at").alias("a")))
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
+    gone = places.join(small(stay, BROADCAST_ROWS), same & (F.col("at") == F.col("a")), "left_anti")
+    removed = scratch.keep(gone.groupBy(F.col("doc").alias("d"), F.col("salt").alias("s")).agg(F.collect_set("at").alias("gone")))
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"))
     joined = marked.join(small(removed, 2 * BROADCAST_ROWS, "gone"), same, "left")
     text = F.col("row").getField(text_col)
     whole = F.split(text, "\n", -1)
-    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(let(whole, left), "\n"))
     out = joined.select("row", kept.alias("kept"), F.when(text.isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     columns = [F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
