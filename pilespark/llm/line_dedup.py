@@ -79,72 +79,75 @@ def signatures(docs: DataFrame) -> DataFrame:
     return filled.select("h1", "h2", "n", bands.alias("bands"))
 
 
-def forest(lines: Column, threshold: float) -> Column:
-    """For each of lines (array<struct<id, alike, set>>) the first that it is connected with by pairs of like lines.
+def starred(pairs: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that connect the like ones of pairs(id, pivot), each compared exactly; held(id, line) has their lines.
 
-    Pairs of two lines that are alike to the pivot are left out. A fold: each line takes the least label of the earlier
-    ones that it is like, and so do all with these labels.
+    A pivot's line is copied once for each SHARE lines that are held against it, and each share hangs on its pivot by one
+    line, so that neither a task nor a node of the edges has to do with all lines of a pivot.
     """
-
-    def like(i: Column, j: Column) -> Column:
-        a, b = F.get(lines, i), F.get(lines, j)
-        close = F.least(F.size(a["set"]), F.size(b["set"])) >= threshold * F.greatest(F.size(a["set"]), F.size(b["set"]))
-        return F.when(~(a["alike"] & b["alike"]) & close, jaccard(a["set"], b["set"]) >= threshold).otherwise(False)
-
-    def step(labels: Column, i: Column) -> Column:
-        near = F.transform(F.filter(F.sequence(F.lit(0), i - 1), lambda j: like(i, j)), lambda j: F.get(labels, j))
-        joined = lambda x: F.concat(F.transform(labels, lambda y: F.when(F.array_contains(x, y), F.array_min(x)).otherwise(y)), F.array(F.coalesce(F.array_min(x), i)))
-        return let(near, joined)
-
-    order = F.when(F.size(lines) > 1, F.sequence(F.lit(1), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(order, F.array(F.lit(0)), step)
+    pairs = pairs.select("pivot", "id").distinct()
+    counted = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    lead = counted.join(held.withColumnRenamed("id", "pivot").withColumnRenamed("line", "other"), "pivot")
+    lead = scratch.keep(lead.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other"))
+    many = scratch.keep(counted.where("shares > 1"))
+    dealt = pairs.join(small(many, BROADCAST_ROWS), "pivot", "left").join(held, "id")
+    dealt = dealt.select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "id", "line")
+    near = scratch.keep(dealt.join(lead, ["pivot", "share"]).where(jaccard(shingles(F.col("line")), shingles(F.col("other"))) >= threshold).select("id", "pivot", "share"))
+    heads = near.groupBy("pivot", "share").agg(F.min("id").alias("head"))
+    return near.join(heads, ["pivot", "share"]).select(F.col("id").alias("a"), F.when(F.col("id") == F.col("head"), F.col("pivot")).otherwise(F.col("head")).alias("b"))
 
 
 def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -> DataFrame:
     """Verified edges (a, b) that connect all like lines which share a band, between lines(id, bands).
 
     texts(ids) gives the lines (id, line) of some ids. All lines that share a band are compared with the least of them,
-    its pivot; where all are like it the bucket is connected. In the other buckets each line unlike the pivot is compared
-    with all lines of its bucket, so no pair that shares a band is left out. A bucket is dealt out in pairs of blocks of
-    some BLOCK lines, so a task holds two blocks however large the bucket, and a pair of blocks gives a forest, not its
-    pairs; the comparisons grow with the unlike lines times the lines of a bucket. A pivot's line is copied once for each
-    SHARE lines that are held against it.
+    the bucket's pivot. Two lines that edges connect already need no comparison. Where a bucket still has lines of
+    several components, the least line outside the pivot's component is held against the others, too; and in what is left
+    after that all pairs of different components are compared, so no pair that shares a band is left out. For this a
+    bucket is dealt out in pairs of blocks of some BLOCK lines, and a task holds two blocks however large the bucket; the
+    comparisons grow with the lines outside the pivot's component times the lines of a bucket.
     """
+    spark = lines.sparkSession
     banded = lines.select("id", F.explode("bands").alias("key"))
     # most keys belong to one line
     keys = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot"))
-    met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").where("id <> pivot").distinct())
-    held = scratch.keep(texts(scratch.keep(met.select("id").union(met.select("pivot")).distinct())))
-    pairs = met.select("pivot", "id").distinct()
-    counted = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
-    lead = counted.join(held.withColumnRenamed("id", "pivot").withColumnRenamed("line", "other"), "pivot")
-    lead = scratch.keep(lead.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other"))
-    many = scratch.keep(counted.where("shares > 1"))
-    dealt = pairs.join(small(many, BROADCAST_ROWS), "pivot", "left").join(held, "id")
-    dealt = dealt.select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "id", "line")
-    judged = dealt.join(lead, ["pivot", "share"]).select("id", "pivot", "share", (jaccard(shingles(F.col("line")), shingles(F.col("other"))) >= threshold).alias("alike"))
-    judged = scratch.keep(judged)
-    # a pivot with many lines is joined through one line of each share, so that no node has too many neighbours
-    near = judged.where("alike")
-    heads = near.groupBy("pivot", "share").agg(F.min("id").alias("head"))
-    found = near.join(heads, ["pivot", "share"]).select(F.col("id").alias("a"), F.when(F.col("id") == F.col("head"), F.col("pivot")).otherwise(F.col("head")).alias("b"))
-    if judged.where("not alike").isEmpty():
-        return found
-    # buckets with a line unlike the pivot; of three lines or more, for the pivot itself has been compared with all
-    rest = met.join(judged.select("id", "pivot", "alike"), ["id", "pivot"]).join(held.select("id", F.length("line").alias("chars")), "id").select("key", "id", "alike", "chars")
-    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count(F.when(~F.col("alike"), 1)).alias("unlike"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids")).where("n > 1 and unlike > 0")
+    met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").distinct())
+    held = scratch.keep(texts(scratch.keep(met.select("id").distinct())))
+    edges = scratch.keep(starred(met.where("id <> pivot"), held, threshold, scratch))
+
+    def mixed(met: DataFrame, edges: DataFrame) -> DataFrame:
+        """met(key, id, pivot) with root and home (the pivot's root), of the buckets that lie in several components."""
+        roots = scratch.keep(components(spark, edges, scratch).select(F.col("node").alias("id"), "root"))
+        rooted = scratch.keep(met.join(small(roots, BROADCAST_ROWS), "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root")))
+        several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("last"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("root"))).alias("home")).where("least <> last").select("key", "home")
+        return scratch.keep(rooted.join(small(scratch.keep(several), BROADCAST_ROWS), "key"))
+
+    rest = mixed(met, edges)
+    if rest.isEmpty():
+        return edges
+    second = rest.groupBy("key").agg(F.min(F.when(F.col("root") != F.col("home"), F.struct("id", "root"))).alias("x")).select("key", F.col("x.id").alias("second"), F.col("x.root").alias("its"))
+    rest = scratch.keep(rest.where("id <> pivot").join(scratch.keep(second), "key").where("id <> second").select("key", "id", "second", "its", "root"))
+    edges = scratch.keep(edges.union(starred(rest.where("root <> its").select("id", F.col("second").alias("pivot")), held, threshold, scratch)))
+    # the lines that neither pivot stands for; the least of them takes the pivot's place
+    least = scratch.keep(rest.groupBy("key").agg(F.min("id").alias("pivot")))
+    rest = mixed(rest.select("key", "id").join(least, "key"), edges)
+    if rest.isEmpty():
+        return edges
+    rest = rest.join(held.select("id", F.length("line").alias("chars")), "id").select("key", "id", "root", "chars", (F.col("root") != F.col("home")).alias("open"))
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"))
     # of the buckets with the same lines, as several bands give, one is enough
-    mixed = mixed.groupBy("n", "unlike", "chars", "ids").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    rest = scratch.keep(rest.select("key", "id", "alike").join(scratch.keep(mixed), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
-    # every block meets each block with an unlike line
-    group = lambda i, j: F.xxhash64("key", F.least(i, j), F.greatest(i, j)).alias("group")
-    unlike = rest.where("not alike")
-    asked = rest.select("key", "id", "alike", "mine").join(unlike.select("key", F.col("mine").alias("open")).distinct(), "key").select(group("mine", "open"), "id", "alike")
-    asking = unlike.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "alike")
-    lined = asked.union(asking).distinct().join(held, "id").select("group", F.struct("id", "alike", shingles(F.col("line")).alias("set")).alias("x"))
-    grouped = lined.groupBy("group").agg(F.collect_list("x").alias("lines")).select("lines", forest(F.col("lines"), threshold).alias("labels"))
-    linked = grouped.select(F.explode(F.transform("labels", lambda k, i: F.struct(F.get("lines", i)["id"].alias("a"), F.get("lines", k)["id"].alias("b")))).alias("e"))
-    return found.union(linked.select("e.a", "e.b").where("a <> b").distinct())
+    sizes = sizes.groupBy("n", "chars", "ids").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    rest = scratch.keep(rest.drop("chars").join(scratch.keep(sizes), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
+    # an open line's block meets every block
+    group = lambda i, j: F.xxhash64("key", i, j).alias("group")
+    blocks = rest.where("open").select("key", F.col("mine").alias("asker")).distinct()
+    asked = rest.join(blocks, "key").select(group("asker", "mine"), "id", "root", "open").join(held, "id")
+    asking = rest.where("open").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "root").join(held, "id")
+    right = asked.repartition("group").select("group", F.col("id").alias("b"), F.col("root").alias("root_b"), "open", shingles(F.col("line")).alias("other"))
+    left = asking.repartition("group").select("group", F.col("id").alias("a"), F.col("root").alias("root_a"), shingles(F.col("line")).alias("set"))
+    close = F.least(F.size("set"), F.size("other")) >= threshold * F.greatest(F.size("set"), F.size("other"))
+    pairs = left.join(right, "group").where((F.col("root_a") != F.col("root_b")) & (~F.col("open") | (F.col("a") < F.col("b")))).where(close)
+    return edges.union(pairs.where(jaccard(F.col("set"), F.col("other")) >= threshold).select("a", "b").distinct())
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
