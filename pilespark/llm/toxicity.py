@@ -21,12 +21,13 @@ FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Pseudo-count of a token's prior; score that every token loses, so that clean text drifts down; least counts kept.
 PRIOR, DRIFT, LEAST_TOXIC, LEAST_CLEAN = 1.0, 0.25, 5, 50
-#: Occurrences of one word that count: in learning in one text, in scoring within NEAR words, for words come in bursts.
-BURST, NEAR = 3, 50
+#: Occurrences of one word that count in one text, for words come in bursts. In learning only: scoring counts them all.
+BURST = 3
 #: Expected number of as good segments in clean text of the same length below which a passage is significant.
 E_VALUE = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
+LOG_FACTORIALS = np.array([math.lgamma(n + 1) for n in range(16)])
 
 
 def nodes(word: str) -> list[str]:
@@ -97,33 +98,42 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """-ln of the least p-value over sums of the r best segments, each normalised by length (extreme-value law)."""
-    best, total = 0.0, 0.0
-    shift = math.log(model.k * max(n, 1))
-    for r, s in enumerate(sorted((x[2] for x in found), reverse=True)[:64], 1):
-        total += model.lam * s - shift
-        if total > r:
-            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r + 1))
-    return best
+    """-ln of the least p-value over sums of the r best segments, each normalised by length (extreme-value law).
+
+    All segments enter: the sum grows with r only while a segment is worth more than its share of chance.
+    """
+    scores = model.lam * np.sort(np.array([x[2] for x in found], float))[::-1] - math.log(model.k * max(n, 1))
+    r = np.arange(1, len(scores) + 1)
+    total = np.cumsum(scores)
+    sure = np.flatnonzero(total > r)
+    if not len(sure):
+        return 0.0
+    r, total = r[sure], total[sure]
+    return float(max(0.0, np.max(total - (r - 1) * np.log(total) + log_factorial(r) + log_factorial(r - 1) - np.log(r + 1))))
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! of whole numbers, by Stirling's series where that is exact to a double."""
+    x = np.maximum(n, 16).astype(float)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 16, LOG_FACTORIALS[np.minimum(n, 15)], series)
+
+
+def lower_words(text: str) -> list[str]:
+    """The words of a text, each in lower case; a word is found as it stands, for lower case may be longer."""
+    lower = text.lower()
+    return WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def features(text: str, model: Model, memo: dict[str, float]) -> tuple[list[str], np.ndarray, list[tuple[int, int, float]], tuple[float, float]]:
-    words = WORD.findall(text.lower())
+    words = lower_words(text)
     get, score = memo.get, model.score
-    burst: dict[str, list[int]] = {}
     values = np.empty(len(words))
     for i, w in enumerate(words):
         if (x := get(w)) is None:
             if len(memo) >= MEMO:
                 memo.clear()
             x = memo[w] = score(w)
-        if x > 0:
-            last = burst.setdefault(w, [])  # places of the last BURST that counted
-            if len(last) == BURST and i - last[0] < NEAR:
-                x = -DRIFT
-            else:
-                del last[: 1 - BURST]
-                last.append(i)
         values[i] = x
     found = segments(values)
     strong = evidence(found, len(words), model)
@@ -184,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(WORD.findall(text.lower()))
+                words = Counter(lower_words(text))
                 mine = seen[toxic == 1]
                 mine[""] += sum(min(n, BURST) for n in words.values())
                 for w, n in words.items():
@@ -234,8 +244,9 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, score, predicted, passages array<struct<start, end, e_value>> of each row's whole text.
 
     One pass without a shuffle. A passage is a maximal segment expected less than E_VALUE times in clean text of the
-    same length, as code-point offsets. Null and empty texts get the score of a text without evidence and no passages;
-    every row gives a row, with null or repeated ids kept; other columns are not read.
+    same length, as code-point offsets; every occurrence of a word counts, wherever it stands. Null and empty texts get
+    the score of a text without evidence and no passages; every row gives a row, with null or repeated ids kept; an
+    empty table gives none; other columns are not read.
     """
     text_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("e_value", pa.float64())]))
@@ -249,8 +260,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 words, _, found, f = features(text, model, memo)
                 scores.append(probability(f, model))
                 strong = [(b, e, x) for b, e, s in found if (x := model.k * max(len(words), 1) * math.exp(-model.lam * s)) < E_VALUE]
-                places = [m.span() for m in WORD.finditer(text.lower())] if strong and len(text.lower()) == len(text) else []
-                passages.append([{"start": places[b][0], "end": places[e - 1][1], "e_value": x} for b, e, x in strong] if places else [{"start": 0, "end": len(text), "e_value": x} for b, e, x in strong[:1]])
+                places = [m.span() for m in WORD.finditer(text)] if strong else []
+                passages.append([{"start": places[b][0], "end": places[e - 1][1], "e_value": x} for b, e, x in strong])
             score = pa.array(scores, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), score, pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, kind)], names=["doc_id", "score", "predicted", "passages"])
 
@@ -259,7 +270,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text the model predicts to be toxic: all columns, no shuffle."""
+    """docs without the rows whose text the model predicts to be toxic: all columns, no shuffle.
+
+    Null and empty texts have no evidence and stay, as do rows with null ids; rows that repeat share one fate.
+    """
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
