@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, licenses, line_dedup, ngram_join, packing, secrets, suffix_dedup, tokens, topk, toxicity
 from .common import table
 
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
