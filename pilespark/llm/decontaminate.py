@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import Scratch, partitions, small, text_batches
 from .shingles import mix
 
 #: Masks over token positions: 1 counts, 0 may differ. Six positions each, so one substituted token in any nine leaves a
@@ -20,72 +20,52 @@ MASKS = ("11101011", "110110101", "1100101101", "10110100011")
 #: An overlap is a stretch of one diagonal with at least LEAST equal tokens (or LEAST_SHARE of a shorter passage) of which
 #: at least SHARE are equal; it is scored +1 for an equal token and MISMATCH for another.
 LEAST, LEAST_SHARE, SHARE, MISMATCH = 13, 0.8, 0.8, -2.0
-#: Tokens below which a passage cannot be told from chance, and bytes of benchmark text that one pass looks for.
-SHORTEST, BLOCK_BYTES = 8, 16 << 20
-TOKEN = re.compile(r"\w+")
-#: Tokens of a document that are looked up at once; slices overlap by the longest mask.
-SLICE = 1 << 18
-
-
-class Index:
-    """Hashes of a benchmark block's masked windows, and its passages as token numbers."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        self.passages: list[tuple[int, np.ndarray]] = []
-        hashes, where = [[] for _ in MASKS], [[] for _ in MASKS]
-        for item, text in items:
-            tokens = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in TOKEN.findall(text.lower())], np.int64)
-            if len(tokens) < SHORTEST:
-                continue
-            self.passages.append((item, tokens))
-            for k, mask in enumerate(MASKS):
-                h, at = windows(tokens, mask)
-                hashes[k].append(h)
-                where[k].append(np.column_stack([np.full(len(at), len(self.passages) - 1), at]))
-        self.tables = []
-        for h, w in zip(hashes, where, strict=True):
-            h, w = (np.concatenate(h), np.concatenate(w)) if h else (np.empty(0, np.uint64), np.empty((0, 2), np.int64))
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], w[order]))
-
-
-def windows(tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of each window whose counting tokens are all known (above 0)."""
+#: Tokens below which a passage is told by an exact copy of all its tokens only.
+SHORTEST = 8
+#: A token is a run of word characters, or one character of a script that puts no blanks between words.
+TOKEN = re.compile(r"[฀-໿က-႟ក-៿⺀-⿟々-ヿ㐀-䶿一-鿿豈-﫿]|[^\W฀-໿က-႟ក-៿⺀-⿟々-ヿ㐀-䶿一-鿿豈-﫿]+")
+#: Tokens of a document that are hashed at once; slices overlap by the longest mask.
+SLICE = 1 << 16
+#: Rows of two longs, and bytes of passages, that may be broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Bits of the filter of benchmark hashes that travels to the tasks, at least, at most, and a hash; it only saves rows.
+FILTER_LEAST, FILTER_MOST, FILTER_SHARE = 1 << 16, 1 << 26, 16
+
+
+def token_hashes(text: str) -> np.ndarray:
+    """A hash of each token of a text in lower case."""
+    from xxhash import xxh3_64_intdigest
+
+    memo: dict[str, int] = {}
+    out = []
+    for w in TOKEN.findall(text.lower()):
+        h = memo.get(w)
+        if h is None:
+            h = memo[w] = xxh3_64_intdigest(w)
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def windows(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """Hash of each window's counting tokens; none if there are fewer tokens."""
     n = len(tokens) - len(mask) + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    picks = [j for j, c in enumerate(mask) if c == "1"]
-    known = tokens > 0
-    at = np.flatnonzero(np.logical_and.reduce([known[j : j + n] for j in picks]))
-    h = np.zeros(len(at), np.uint64)
-    for j in picks:
-        h = h * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[at + j].astype(np.uint64))
-    return h, at
-
-
-def seeds(tokens: np.ndarray, index: Index) -> np.ndarray:
-    """Distinct (passage, diagonal) on which some mask hits."""
-    out = []
-    for begin in range(0, max(1, len(tokens)), SLICE):
-        part = tokens[begin : begin + SLICE + max(map(len, MASKS))]
-        for mask, (hashes, where) in zip(MASKS, index.tables, strict=True):
-            h, at = windows(part, mask)
-            if not len(h) or not len(hashes):
-                continue
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            n = hi - lo
-            if not n.any():
-                continue
-            owner = np.repeat(np.arange(len(h)), n)
-            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[owner]
-            out.append(np.unique(np.column_stack([where[row, 0], begin + at[owner] - where[row, 1]]), axis=0))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return np.empty(0, np.uint64)
+    h = np.full(n, len(mask), np.uint64)
+    for j, c in enumerate(mask):
+        if c == "1":
+            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[j : j + n])
+    return mix(h)
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks by which a passage of n tokens is looked for: the spaced ones, or all of it if it is short."""
+    return MASKS if n >= SHORTEST else ("1" * n,)
 
 
 def least(n: int) -> int:
     """Equal tokens that an overlap with a passage of n tokens has at least."""
-    return min(LEAST, math.ceil(LEAST_SHARE * n))
+    return n if n < SHORTEST else min(LEAST, math.ceil(LEAST_SHARE * n))
 
 
 def widest(equal: np.ndarray) -> tuple[int, int, int]:
@@ -117,50 +97,149 @@ def overlap(tokens: np.ndarray, passage: np.ndarray, diagonal: int) -> tuple[int
     return n, b + begin, b + end
 
 
-def overlaps(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(item, equal tokens, passage tokens, begin, end): each passage's best overlap with a text, if it is one."""
-    get = index.vocabulary.get
-    tokens = np.array([get(w, 0) for w in TOKEN.findall(text.lower())], np.int64)
-    best: dict[int, tuple[int, int, int, int, int]] = {}
-    for p, diagonal in seeds(tokens, index).tolist():
-        item, passage = index.passages[p]
-        n, b, e = overlap(tokens, passage, diagonal)
-        if n >= least(len(passage)) and n >= SHARE * (e - b) and (p not in best or n > best[p][1]):
-            best[p] = (item, n, len(passage), b, e)
-    return sorted(best.values())
+def best_overlap(tokens: np.ndarray, offset: int, passage: np.ndarray, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """The overlap with most equal tokens on some diagonals, ties to the earliest; tokens begin at `offset` of the document."""
+    best = None
+    for d in sorted(set(diagonals)):
+        n, b, e = overlap(tokens, passage, d - offset)
+        if n >= least(len(passage)) and n >= SHARE * (e - b) and (best is None or n > best[0]):
+            best = n, b + offset, e + offset
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_equal, n_item, begin, end: the benchmark passages that each whole document overlaps.
 
-    Benchmark passages are taken in blocks of about BLOCK_BYTES of text, by a hash of the item; a block's index travels
-    to the tasks, and the documents are read once for each block, without a shuffle. Tokens are lower-cased runs of word
-    characters; begin and end count a document's tokens. A row is a document row's best overlap with a passage. Null and
-    empty texts, and passages of under SHORTEST tokens, overlap nothing; null ids are kept; documents that repeat give
-    rows each, items that repeat likewise; an empty table on either side gives no rows. Other columns are not read.
+    Masked windows of passages and of documents are joined on their hashes. A filter of the benchmark's hashes, of fixed
+    size at most, travels to the tasks that read the documents, so that only what may match is shuffled; each hit is then
+    verified along its diagonal, the part of the document around it against the passage. A hash that many windows share is
+    split by the join's adaptive execution. Tokens are lower-cased runs of word characters, or single characters of
+    scripts without blanks; begin and end count a document's tokens. A row is a document row's best overlap with a
+    passage (most equal tokens, ties: the earliest). Passages of under SHORTEST tokens are found by exact copies of all
+    their tokens. Null and empty texts, and passages without tokens, overlap nothing; null ids are kept; rows of documents
+    that repeat id and text give one row (with other texts, a row each); items likewise; an empty table on either side
+    gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    schema = "doc_id long, item_id long, n_equal int, n_item int, begin long, end long"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-    def pass_of(held: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(held)
-            for batch in batches:
-                found = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in overlaps(text, index)]
-                columns = list(zip(*found, strict=True)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_equal", "n_item", "begin", "end"])
-
-        return run
-
-    out = None
-    for b in range(blocks):
-        held = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        found = rows.mapInArrow(pass_of(held), schema)
-        out = found if out is None else out.union(found)
+    scratch = Scratch(spark, "decontamination")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("text")).where("text is not null").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"), F.col(text_col).alias("text")).where("text is not null")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = token_hashes(text)
+                name = int.from_bytes(text_name(text), "little", signed=True)
+                for mask in masks_of(len(tokens)) if len(tokens) else ():
+                    h = windows(tokens, mask)
+                    n = len(h)
+                    columns = [pa.array([item] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array([len(tokens)] * n, pa.int32()), pa.array(h.view(np.int64)), pa.array(np.arange(n), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "passage", "n_item", "h", "place"])
+
+    seeds = scratch.keep(items.mapInArrow(index, "item long, passage long, n_item int, h long, place long"))
+    hashes = seeds.select("h").distinct()
+    bits = FILTER_LEAST
+    while bits < min(FILTER_MOST, FILTER_SHARE * seeds.count()):
+        bits *= 2
+    # the filter: one row for each of its words that has a bit, at most FILTER_MOST / 64 rows whatever the benchmark's size
+    words = hashes.select(F.pmod("h", F.lit(bits)).alias("bit")).select(F.floor(F.col("bit") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
+    filter_words = np.zeros(bits // 64, np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("one").alias("ones")).toLocalIterator():
+        filter_words[r["word"]] = np.int64(r["ones"]).view(np.uint64)
+    short = sorted(r[0] for r in seeds.where(F.col("n_item") < SHORTEST).select("n_item").distinct().collect())  # SHORTEST at most
+    looked_for = [*(MASKS if not seeds.isEmpty() else ()), *("1" * n for n in short)]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = token_hashes(text)
+                found_h, found_at = [], []
+                for begin in range(0, len(tokens), SLICE):
+                    for mask in looked_for:
+                        h = windows(tokens[begin : begin + SLICE + len(mask) - 1], mask)
+                        bit = h & np.uint64(bits - 1)
+                        hit = np.flatnonzero(filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                        found_h.append(h[hit])
+                        found_at.append(hit + begin)
+                n = sum(map(len, found_h))
+                if n:
+                    columns = [pa.array([doc] * n, pa.int64()), pa.array([salt] * n, pa.int64()), pa.array(np.concatenate(found_h).view(np.int64)), pa.array(np.concatenate(found_at).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "salt", "h", "at"])
+
+    looked = scratch.keep(rows.mapInArrow(look, "doc long, salt long, h long, at long"))
+    hits = looked.join(small(seeds, BROADCAST_ROWS), "h").groupBy("doc", "salt", "item", "passage", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.max("n_item").alias("n_item"))
+    # the diagonals of one document and passage, and the part of the document that they touch
+    asked = hits.groupBy("doc", "salt", "item", "passage").agg(F.collect_list("diagonal").alias("diagonals"), F.max("n_item").alias("n_item"))
+    asked = scratch.keep(asked)
+    wanted = asked.groupBy(F.col("doc").alias("d"), F.col("salt").alias("s")).agg(F.collect_list(F.struct("item", "passage", "n_item", "diagonals")).alias("asked"))
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
+    once = rows.join(small(scratch.keep(wanted), BROADCAST_ROWS, "asked"), same).dropDuplicates(["doc", "salt"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens of a document around each run of near diagonals."""
+        names = ["doc", "salt", "item", "passage", "diagonals", "offset", "tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        for batch in batches:
+            for doc, salt, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = token_hashes(text)
+                out = []
+                for x in wanted:
+                    runs: list[list[int]] = []
+                    for d in sorted(set(x["diagonals"])):
+                        if runs and d - runs[-1][-1] <= x["n_item"] and d - runs[-1][0] < SLICE:
+                            runs[-1].append(d)
+                        else:
+                            runs.append([d])
+                    for run in runs:
+                        b, e = max(0, run[0]), run[-1] + x["n_item"]
+                        out.append((doc, salt, x["item"], x["passage"], run, b, tokens[b:e].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            names = [int.from_bytes(text_name(t), "little", signed=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([token_hashes(t).tobytes() for t in texts], pa.binary())], names=["passage", "passage_tokens"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "salt", "item", "n_equal", "n_item", "begin", "end"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        for batch in batches:
+            out = []
+            for doc, salt, item, diagonals, offset, tokens, passage in zip(*(batch.column(k).to_pylist() for k in ("doc", "salt", "item", "diagonals", "offset", "tokens", "passage_tokens")), strict=True):
+                p = np.frombuffer(passage, np.uint64)
+                if x := best_overlap(np.frombuffer(tokens, np.uint64), offset, p, diagonals):
+                    out.append((doc, salt, item, x[0], len(p), x[1], x[2]))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    cut = scratch.keep(once.select("doc", "salt", "text", "asked").mapInArrow(parts, "doc long, salt long, item long, passage long, diagonals array<long>, offset long, tokens binary"))
+    texts = scratch.keep(items.mapInArrow(passages, "passage long, passage_tokens binary").dropDuplicates(["passage"]))
+    size = texts.agg(F.sum(F.octet_length("passage_tokens"))).first()[0] or 0
+    met = cut.join(F.broadcast(texts) if size <= BROADCAST_BYTES else texts, "passage")
+    verified = met.mapInArrow(verify, "doc long, salt long, item long, n_equal int, n_item int, begin long, end long")
+    # most equal tokens, then the earliest; of items that repeat an id with other texts, the best
+    best = verified.groupBy("doc", "salt", "item", "n_item").agg(F.min(F.struct((-F.col("n_equal")).alias("fewer"), "begin", "end")).alias("x"))
+    return best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("x.fewer")).alias("n_equal"), "n_item", "x.begin", "x.end")
+
+
+def text_name(text: str) -> bytes:
+    """Eight bytes that name a passage."""
+    import hashlib
+
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
+
+
+def brute_force(texts: list[str | None], items: list[tuple[int, str | None]]) -> set[tuple[int, int, int]]:
+    """(text, item, equal tokens) of each text's best overlap with each passage, over all diagonals with an equal token; for tests."""
+    out = set()
+    for item, passage in items:
+        p = token_hashes(passage or "")
+        if not len(p):
+            continue
+        for i, text in enumerate(texts):
+            t = token_hashes(text or "")
+            if x := best_overlap(t, 0, p, (np.subtract.outer(np.arange(len(t)), np.arange(len(p)))[np.equal.outer(t, p)]).tolist()):
+                out.add((i, item, x[0]))
     return out

@@ -1,15 +1,17 @@
 """Operators on whole texts and on vectors, against brute force."""
 
+import math
 import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from pilespark.llm import decontaminate, licenses, packing, secrets, tokens, topk, toxicity
 
 DOCS = "doc_id long, text string, source string, n_tokens long"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def docs(spark, texts):
@@ -33,7 +35,7 @@ def test_token_counts(spark, monkeypatch):
 def test_token_counts_of_json(spark):
     from tokenizers import Tokenizer
 
-    path = "/opt/tokenizers/byte_bpe_50k.json"
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
     t = Tokenizer.from_file(path)
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs(spark, TEXTS[:9]), path).collect()}
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(TEXTS[:9])}
@@ -78,10 +80,31 @@ def test_named_literals_have_no_length_or_nesting_bounds():
     assert spans(f"password=my_pwd={value}") == [f"my_pwd={value}", value]
 
 
+def test_the_lexer_reads_escapes_long_strings_elements_and_continued_lines():
+    value = "xY9$kLm2pQ4rT"
+    spans = lambda text: [text[b:e] for b, e in secrets.named_literals(text)]
+    assert spans('db_pwd = "q8Zr-77\\"Tk_pLx92m"') == ['q8Zr-77\\"Tk_pLx92m']
+    assert spans(f'db_pwd = """{value}"""') == spans(f"<password>{value}</password>") == spans(f"/* db_pwd = '{value}' */") == [value]
+    assert spans('DB_PWD = "xY9$kLm2" \\\n   "pQ4rT"') == ["xY9$kLm2", "pQ4rT"]
+    assert spans(f'{{"client_secret": "{value}"}}') == spans(f"cfg['db_password'] = '{value}'") == [value]
+    chain = "\n".join(f"k{i} = k{i + 1}" for i in range(3000))
+    assert spans(f'{chain}\nk3000 = "{value}"\nmy_password = k0') == [value]
+    fan = "\n".join(f'c{i} = "b" + c{i + 1} + c{i + 1}' for i in range(40))
+    assert spans(f'{fan}\nc40 = "{value}"\nmy_password = c0') == [value]
+    assert len(spans("\n".join(f'a = "{value}{i}"\nmy_password = a' for i in range(3000)))) == 3000
+
+
+def test_secrets_of_odd_rows(spark):
+    frame = spark.createDataFrame([(None, SECRET[0], "s", 1), (1, SECRET[0], "s", 1), (1, SECRET[0], "s", 1), (2, None, "s", 1)], DOCS).withColumnRenamed("source", "spans")
+    got = sorted(((r["doc_id"] or 0, r["n_assign"]) for r in secrets.digest(secrets.secret_spans(frame)).collect()))
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 0)]
+    assert secrets.secret_spans(frame.limit(0)).count() == 0
+
+
 def test_named_literals_take_linear_time():
     import time
 
-    for text in ("a" * 400_000, "key=" * 40_000, "pwd: " * 40_000, 'a="' * 100_000, "x['" * 100_000, "a" + " " * 400_000 + "b"):
+    for text in ("a" * 400_000, "key=" * 40_000, "pwd: " * 40_000, 'a="' * 100_000, "x['" * 100_000, "a" + " " * 400_000 + "b", "a=b+" * 50_000, 'a="b=\\"' * 40_000, "<a>" * 100_000, "/*" * 100_000, '"a":' * 50_000):
         begin = time.process_time()
         secrets.named_literals(text)
         assert time.process_time() - begin < 20
@@ -140,20 +163,51 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.toxicity(frame, empty).where("predicted = 1").count() == 0
 
 
-def test_passages_do_not_depend_on_the_text_before():
-    model = toxicity.Model(odds={"vile": 3.0}, lam=1.0, k=0.1)
-    early = " ".join("vile" if i % 60 == 0 else "calm" for i in range(400))
-    late = "calm " * 60 + "vile " * 5 + "calm " * 60 + "vile"
-    _, alone, _, _ = toxicity.features(late, model, {})
-    _, values, _, _ = toxicity.features(early + " " + late, model, {})
-    assert (alone > 0).sum() == 4 and (values[400:] == alone).all()
-    assert (values[:400:60] > 0).all()
-
-
-def test_decontamination(spark, monkeypatch):
+def slow_score(text, model):
+    """The score of a text from the definitions: every word's log-odds, segments by brute force, all sums of them."""
+    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+    values = [model.score(w) for w in words]
+
+    def maximal(b, e):
+        best = max(((sum(values[i:j]), -i, -j) for i in range(b, e) for j in range(i + 1, e + 1)), default=(0, 0, 0))
+        return [] if best[0] <= 0 else [*maximal(b, -best[1]), best[0], *maximal(-best[2], e)]
+
+    found = sorted(maximal(0, len(words)), reverse=True)
+    total = strong = 0.0
+    for r, s in enumerate(found, 1):
+        total += model.lam * s - math.log(model.k * max(len(words), 1))
+        if total > r:
+            strong = max(strong, total - (r - 1) * math.log(total) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)) - math.log(r + 1))
+    z = model.weights[0] + model.weights[1] * math.log1p(strong) + model.weights[2] * sum(found) / max(len(words), 8)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(3)
+    model = toxicity.Model(odds={"vile": 2.01371, "nasty": 1.10713, "^fool": 0.72931, "calm": -0.51773, "other": -0.31337}, lam=0.9, k=0.2, weights=(-2.0, 1.3, 0.4))
+    texts = [" ".join(rng.choice(["vile", "Nasty", "foolish", "calm", "other", "İstanbul", "x9y"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, ""]
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs(spark, texts), model).collect()}
+    assert all(abs(got[i] - slow_score(t or "", model)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_every_toxic_passage_is_found(spark):
+    model = toxicity.Model(odds={"vile": 3.0}, lam=1.0, k=0.001, weights=(-3.0, 1.0, 0.0))
+    passage = "calm " * 60 + "vile " * 5
+    texts = [passage * n for n in (1, 5, 20, 200)] + ["İ " + passage * 3, passage * 20 + "calm " * 100_000]
+    rows = docs(spark, texts).union(docs(spark, [passage]).selectExpr("cast(null as long)", "text", "source", "n_tokens"))
+    found = toxicity.toxicity(rows.withColumnRenamed("n_tokens", "score"), model).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert [len(got[i]["passages"]) for i in (0, 1, 2, 3, 4, 5, None)] == [1, 5, 20, 200, 3, 20, 1]
+    assert got[0]["score"] < got[1]["score"] < got[2]["score"] < got[3]["score"]
+    assert all(set(texts[i][s["start"] : s["end"]].split()) == {"vile"} for i in range(6) for s in got[i]["passages"])
+    repeated = toxicity.toxicity(docs(spark, [passage]).union(docs(spark, [passage])), model).collect()
+    assert len(repeated) == 2 and repeated[0] == repeated[1]
+
+
+def test_decontamination(spark):
     rng = random.Random(2)
     make = lambda n: [f"t{rng.randrange(5000)}" for _ in range(n)]
-    items = [make(30) for _ in range(12)] + [make(9), make(3)]
+    items = [make(30) for _ in range(12)] + [make(9), ["no", "such", "words"]]
     texts, want = [], {}
     for k in range(60):
         body = make(50)
@@ -173,15 +227,39 @@ def test_decontamination(spark, monkeypatch):
             want[k] = k % 12 if k < 24 else 12
     frame = docs(spark, [*texts, None, "", "t1 " * 9000])
     benchmark = spark.createDataFrame([(i, " ".join(x), 1) for i, x in enumerate(items)] + [(77, None, 1)], "item_id long, text string, begin int")
-    for size in (1 << 24, 300):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
-        got = decontaminate.contaminated(frame, benchmark).collect()
-        assert {r["doc_id"]: r["item_id"] for r in got} == want and len(got) == len(want)
+    got = decontaminate.contaminated(frame, benchmark).collect()
+    assert {r["doc_id"]: r["item_id"] for r in got} == want and len(got) == len(want)
     exact = {r["doc_id"]: r for r in got}
     assert (exact[3]["n_equal"], exact[3]["begin"], exact[3]["end"]) == (30, 20, 50)
     assert decontaminate.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Substituted copies, short and unspaced items, ties, repeated rows, null ids, clashing names, a long text."""
+    monkeypatch.setattr(decontaminate, "SLICE", 40)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    rng = random.Random(5)
+    make = lambda n: [f"t{rng.randrange(3000)}" for _ in range(n)]
+    items = [" ".join(make(rng.randrange(1, 60))) for _ in range(60)] + ["\u8cc7\u6599\u306e\u4e2d\u306e\u4f8b\u6587\u3092\u898b\u3064\u3051\u308b", None, "", "..."]
+    texts = [" ".join(make(rng.randrange(0, 90))) for _ in range(40)]
+    for k in range(60):
+        part = items[k].split()
+        edited = [w if rng.random() > 0.1 else "swapped" for w in part]
+        texts.append(" ".join([*make(30), *edited, *make(10), *(part if k % 3 == 0 else [])]))
+    texts += ["\u524d\u6587" + items[60] + "\u5f8c\u6587", None, "", " ".join(make(5000)) + " " + items[0]]
+    rows = [(i, t, "s", 1) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows + [rows[41], (None, texts[42], "s", 1)], DOCS).withColumnRenamed("source", "item_id")
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(0, items[0], 2)], "item_id long, text string, begin int")
+    found = decontaminate.contaminated(frame, benchmark).collect()
+    got = [(r["doc_id"], r["item_id"], r["n_equal"]) for r in found if r["doc_id"] is not None]
+    want = decontaminate.brute_force(texts, list(enumerate(items)))
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want)
+    short = {(i, k, n) for i, k, n in want if len(decontaminate.token_hashes(items[k])) < decontaminate.SHORTEST or k == 60}
+    assert short and short <= set(got)
+    assert {r["item_id"] for r in found if r["doc_id"] is None} == {k for i, k, _ in got if i == 42}
+    assert decontaminate.contaminated(frame.limit(0), benchmark).count() == 0
+
+
 def test_overlap_finds_any_stretch_that_qualifies():
     """Against all stretches of a diagonal, with random substitutions."""
     rng = np.random.default_rng(4)
