@@ -8,41 +8,75 @@ from pyspark.sql import functions as F
 from pilespark.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from pilespark.llm.common import Scratch, small, table
 
-#: Ids that may be broadcast, 16 MB; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast, 8 MB; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `key`, which tells rows apart by id and text, nulls included: rows of one key repeat both."""
+    return docs.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model learnt from the labels outside the held-out fold finds toxic go; all others stay whole."""
+    """Documents that a model learnt from the labels outside the held-out fold finds toxic go; all others stay whole.
+
+    Only a row's text decides, so rows with null ids or repeated ids are judged like others and rows that repeat share
+    one fate. Null and empty texts hold no evidence and stay. Very long texts are read whole. No documents give none;
+    without usable labels all stay. Columns beyond those of documents go.
+    """
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
-    return toxicity.without_toxic(docs, model).select(*COLUMNS)
+    return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, closely or exactly, stay once; documents that had words and keep none go."""
-    cleaned = line_dedup.line_dedup(docs)
-    left = cleaned.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    """Lines that repeat, closely or exactly, stay once; documents that had words and keep none go.
+
+    The line of the least (id, hash of the text, line number) stays, rows with a null id last; rows that repeat id and text
+    keep the same lines. Null and empty texts and those of white space only stay as they are. n_chars is counted anew (null
+    for a null text). No documents give none. Columns beyond those of documents go.
+    """
+    cleaned = line_dedup.line_dedup(docs.select(*COLUMNS))
+    left = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the least id stays."""
-    classes = ngram_join.ngram_join(docs)
-    gone = Scratch(spark, "copies").keep(classes.where("doc_id <> class_id").select("doc_id"))
-    return docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies the document of the least (id, hash of the row) stays.
+
+    Rows are told apart by id and text: of rows that repeat both one stays, a repeated id with another text is another
+    document, and rows with a null id take part and come last in the order of ids. Null, empty and blank texts are in no
+    class and stay, once for each id. No documents give none. Columns beyond those of documents go.
+    """
+    rows = Scratch(spark, "rows").keep(keyed(docs.select(*COLUMNS)).dropDuplicates(["key"]))
+    classes = ngram_join.ngram_join(rows.select(F.col("key").alias("doc_id"), "text"))
+    marked = Scratch(spark, "copies").keep(classes.where("n_links > 0").select(F.col("doc_id").alias("key"), "class_id"))
+    members = rows.select("key", F.col("doc_id").alias("id")).join(small(marked, BROADCAST_IDS), "key")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("x")).select(F.col("x.key").alias("key"))
+    gone = Scratch(spark, "gone").keep(marked.select("key").join(first, "key", "left_anti"))
+    return rows.join(small(gone, BROADCAST_IDS), "key", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark passage go."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = Scratch(spark, "leaks").keep(leaks.select("doc_id").distinct())
-    return docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that overlap a benchmark passage go.
+
+    Rows are told apart by id and text, null ids included, so a clean row stays though another row of its id goes, and rows
+    that repeat both go together. Null and empty texts overlap nothing and stay. No documents give none, and an empty
+    benchmark takes none away. Columns beyond those of documents go.
+    """
+    rows = keyed(docs.select(*COLUMNS))
+    leaks = decontaminate.contaminated(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = Scratch(spark, "leaks").keep(leaks.select(F.col("doc_id").alias("key")).distinct())
+    return rows.join(small(gone, BROADCAST_IDS), "key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each part of each document goes."""
-    return packing.best_fit(docs)
+    """Where each part of each document goes, as best_fit() says.
+
+    Null and empty texts go nowhere (one row with a null bin); longer texts than a bin are cut; rows that repeat are
+    duplicates of each other and lie in different bins; null ids and sources stay null. No documents give no rows.
+    """
+    return packing.best_fit(docs.select(*COLUMNS))
 
 
 STAGES = [
