@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, partitions, small, text_batches
+from .common import Scratch, small, text_batches
 from .shingles import mix
 
 #: Masks over token positions: 1 counts, 0 may differ. Six positions each, so one substituted token in any nine leaves a
@@ -20,42 +22,55 @@ MASKS = ("11101011", "110110101", "1100101101", "10110100011")
 #: An overlap is a stretch of one diagonal with at least LEAST equal tokens (or LEAST_SHARE of a shorter passage) of which
 #: at least SHARE are equal; it is scored +1 for an equal token and MISMATCH for another.
 LEAST, LEAST_SHARE, SHARE, MISMATCH = 13, 0.8, 0.8, -2.0
+LONGEST = max(map(len, MASKS)) - 1
 #: Tokens below which a passage is told by an exact copy of all its tokens only.
 SHORTEST = 8
 #: A token is a run of word characters, or one character of a script that puts no blanks between words.
-TOKEN = re.compile(r"[฀-໿က-႟ក-៿⺀-⿟々-ヿ㐀-䶿一-鿿豈-﫿]|[^\W฀-໿က-႟ក-៿⺀-⿟々-ヿ㐀-䶿一-鿿豈-﫿]+")
+SCRIPTS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+UNSPACED, PLAIN, MIXED = re.compile(f"[{SCRIPTS}]"), re.compile(r"\w+"), re.compile(rf"[{SCRIPTS}]|[^\W{SCRIPTS}]+")
+#: Hashes of tokens that a task remembers.
+MEMO = 200_000
 #: Tokens of a document that are hashed at once; slices overlap by the longest mask.
 SLICE = 1 << 16
 #: Rows of two longs, and bytes of passages, that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
-#: Bits of the filter of benchmark hashes that travels to the tasks, at least, at most, and a hash; it only saves rows.
-FILTER_LEAST, FILTER_MOST, FILTER_SHARE = 1 << 16, 1 << 26, 16
+#: The filter of benchmark hashes that travels to the tasks: a power of two of bits, at least and at most (2 MB), and how many
+#: bits a hash; it only saves rows.
+FILTER_LEAST, FILTER_MOST, FILTER_SHARE = 16, 24, 64
+FACTORS = mix(np.arange(1, max(m.count("1") for m in MASKS) + SHORTEST + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def token_hashes(text: str) -> np.ndarray:
+class Memo(dict):
+    """Hashes of tokens, computed when first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxh3_64_intdigest(token)
+        return h
+
+
+def token_hashes(text: str, memo: Memo | None = None) -> np.ndarray:
     """A hash of each token of a text in lower case."""
-    from xxhash import xxh3_64_intdigest
+    memo = Memo() if memo is None else memo
+    if len(memo) > MEMO:
+        memo.clear()
+    found = (MIXED if UNSPACED.search(text) else PLAIN).findall(text.lower())
+    return np.array([memo[w] for w in found], np.uint64)
 
-    memo: dict[str, int] = {}
-    out = []
-    for w in TOKEN.findall(text.lower()):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
 
+def scaled(tokens: np.ndarray) -> list[np.ndarray]:
+    """The tokens times the factor of each place among a mask's counting tokens."""
+    return [tokens * f for f in FACTORS]
 
-def windows(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of each window's counting tokens; none if there are fewer tokens."""
-    n = len(tokens) - len(mask) + 1
+
+def windows(scaled_tokens: list[np.ndarray], mask: str) -> np.ndarray:
+    """Hash of each window's counting tokens; none if there are fewer tokens. Its upper bits are the best mixed."""
+    n = len(scaled_tokens[0]) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, len(mask), np.uint64)
-    for j, c in enumerate(mask):
-        if c == "1":
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[j : j + n])
-    return mix(h)
+    h = np.full(n, np.uint64(len(mask)) * FACTORS[0])
+    for k, j in enumerate(j for j, c in enumerate(mask) if c == "1"):
+        h += scaled_tokens[k][j : j + n]
+    return h
 
 
 def masks_of(n: int) -> tuple[str, ...]:
@@ -132,40 +147,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 tokens = token_hashes(text)
                 name = int.from_bytes(text_name(text), "little", signed=True)
                 for mask in masks_of(len(tokens)) if len(tokens) else ():
-                    h = windows(tokens, mask)
+                    h = windows(scaled(tokens), mask)
                     n = len(h)
                     columns = [pa.array([item] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array([len(tokens)] * n, pa.int32()), pa.array(h.view(np.int64)), pa.array(np.arange(n), pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["item", "passage", "n_item", "h", "place"])
 
     seeds = scratch.keep(items.mapInArrow(index, "item long, passage long, n_item int, h long, place long"))
     hashes = seeds.select("h").distinct()
-    bits = FILTER_LEAST
-    while bits < min(FILTER_MOST, FILTER_SHARE * seeds.count()):
-        bits *= 2
-    # the filter: one row for each of its words that has a bit, at most FILTER_MOST / 64 rows whatever the benchmark's size
-    words = hashes.select(F.pmod("h", F.lit(bits)).alias("bit")).select(F.floor(F.col("bit") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
-    filter_words = np.zeros(bits // 64, np.uint64)
+    n_seeds, power = seeds.count(), FILTER_LEAST
+    while power < FILTER_MOST and 1 << power < FILTER_SHARE * n_seeds:
+        power += 1
+    # one row for each eight bytes of the filter that have a bit, at most 1 << FILTER_MOST - 6 whatever the benchmark's size
+    words = hashes.select(F.shiftrightunsigned("h", 64 - power).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
+    filter_words = np.zeros((1 << power) // 64, np.uint64)
     for r in words.groupBy("word").agg(F.bit_or("one").alias("ones")).toLocalIterator():
         filter_words[r["word"]] = np.int64(r["ones"]).view(np.uint64)
     short = sorted(r[0] for r in seeds.where(F.col("n_item") < SHORTEST).select("n_item").distinct().collect())  # SHORTEST at most
-    looked_for = [*(MASKS if not seeds.isEmpty() else ()), *("1" * n for n in short)]
+    looked_for = [*(MASKS if n_seeds else ()), *("1" * n for n in short)]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(filter_words.view(np.uint8), bitorder="little").view(bool)
+        memo = Memo()
         for batch in batches:
-            for doc, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = token_hashes(text)
-                found_h, found_at = [], []
+            owners, lengths, found_h, found_at = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                tokens = token_hashes(text, memo)
+                n = 0
                 for begin in range(0, len(tokens), SLICE):
+                    part = scaled(tokens[begin : begin + SLICE + LONGEST])
                     for mask in looked_for:
-                        h = windows(tokens[begin : begin + SLICE + len(mask) - 1], mask)
-                        bit = h & np.uint64(bits - 1)
-                        hit = np.flatnonzero(filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                        h = windows(part, mask)[:SLICE]
+                        hit = np.flatnonzero(known[h >> np.uint64(64 - power)])
                         found_h.append(h[hit])
                         found_at.append(hit + begin)
-                n = sum(map(len, found_h))
-                if n:
-                    columns = [pa.array([doc] * n, pa.int64()), pa.array([salt] * n, pa.int64()), pa.array(np.concatenate(found_h).view(np.int64)), pa.array(np.concatenate(found_at).astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "salt", "h", "at"])
+                        n += len(hit)
+                owners.append(i)
+                lengths.append(n)
+            rows = pa.array(np.repeat(np.array(owners, np.int64), lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found_h).view(np.int64)), pa.array(np.concatenate(found_at))], names=["doc", "salt", "h", "at"])
 
     looked = scratch.keep(rows.mapInArrow(look, "doc long, salt long, h long, at long"))
     hits = looked.join(small(seeds, BROADCAST_ROWS), "h").groupBy("doc", "salt", "item", "passage", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.max("n_item").alias("n_item"))
@@ -226,8 +245,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def text_name(text: str) -> bytes:
     """Eight bytes that name a passage."""
-    import hashlib
-
     return hashlib.blake2b(text.encode(), digest_size=8).digest()
 
 
