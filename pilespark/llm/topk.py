@@ -31,7 +31,13 @@ def postings(rows: list[list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def accumulate(queries: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int, rows: dict[int, tuple[np.ndarray, np.ndarray]], n_rows: int) -> np.ndarray:
     """Dense scores (rows x queries): each term's postings are scattered, weighted by each query that holds it."""
-    scores = np.zeros((n_rows, n_queries), np.int64)
+    most = sum(float(np.abs(w.astype(float)).max()) * float(np.abs(rows[t][1].astype(float)).max()) for t, (_, w) in queries.items() if t in rows)
+    if most >= 2.0**62:  # sums of these products may wrap
+        scores = np.zeros((n_rows, n_queries), object)
+        queries = {t: (q, w.astype(object)) for t, (q, w) in queries.items()}
+        rows = {t: (at, v.astype(object)) for t, (at, v) in rows.items()}
+    else:
+        scores = np.zeros((n_rows, n_queries), np.int64)
     for t, (q, weights) in queries.items():
         if t in rows:
             at, values = rows[t]
@@ -39,6 +45,10 @@ def accumulate(queries: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int
                 scores[at] += values[:, None] * weights
             else:
                 scores[np.ix_(at, q)] += values[:, None] * weights
+    if scores.dtype == object:
+        if scores.size and (scores.max() >= 2**63 or scores.min() < -(2**63)):
+            raise OverflowError("a score does not fit 64 bits")
+        scores = scores.astype(np.int64)
     return scores
 
 
@@ -59,7 +69,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
 
     Components are floor(scale * x). Queries are taken in blocks of QUERY_BLOCK, one pass of the table for each block,
     so that no memory grows with the table; within a pass each task keeps k rows for a query of the block. Scores are
-    whole numbers and must fit 64 bits. Null vectors and those with null or non-finite components take no part; nor do
+    whole numbers; where a block's sums might not fit 64 bits they are accumulated as Python's, and a score that does not
+    fit fails the job (OverflowError) instead of wrapping. Null vectors and those with null or non-finite components take no part; nor do
     rows with a null id. Vectors of unequal length count as padded with zeros. Ties go to the smaller id; a row is not
     its own candidate, and of rows that repeat an id each is a candidate of other ids' queries; queries that repeat an id share one list. An empty table, or one
     without queries, gives no rows.
@@ -69,7 +80,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     real = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    rows = real.select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
+    # a component beyond 64 bits would be cut to the greatest long
+    fits = lambda x: F.when(F.abs(x.cast("double")) * scale < 2.0**63, F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+    rows = real.select("vec_id", F.transform("v", fits).alias("v"))
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
     scratch = Scratch(spark, "topk")
     n = queries.count()
