@@ -15,6 +15,8 @@ from .common import partitions, text_batches
 
 #: Words that a bin holds, documents of one source that a bin may hold, and documents that are packed together.
 CAPACITY, SOURCE_QUOTA, SHARD_ROWS = 2048, 4, 8192
+#: Rows that repeat entirely (id, source, length and text) that go to one shard together; the next ones go to another.
+COPIES = 256
 
 
 def cluster_of(text: Column) -> Column:
@@ -82,7 +84,11 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOT
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("n"), cluster_of(text).alias("cluster"))
     shards = max(1, math.ceil(docs.count() / SHARD_ROWS))
     parts = min(shards, 4 * partitions(spark))  # a task packs one shard after the other
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(shards)).cast("int"))
+    # rows that repeat entirely would all fall to one shard: their number among equals sends them on, SHARD_ROWS to each
+    equal = rows.groupBy("doc_id", "source", "n", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    copies = equal.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPIES).cast("int"))))
+    rows = copies.withColumn("here", F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("here").cast("int"))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n", "part"), F.lit(shards)).cast("int"))
     schema = "bin_id string, doc_id long, part int, begin long, n_words long"
 
     def shard_rows(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
