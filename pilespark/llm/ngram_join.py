@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, partitions, text_batches
 from .shingles import batch_words, mix, shingle_set
 
-#: Independent runs: a pair at the threshold meets in one run with probability 1 - 1/e at the first level and about
-#: 0.47 at the second, so ten runs find it with probability over 0.998; pairs above the threshold do better.
-RUNS, LEVELS = 10, 3
+#: Recall that runs are repeated for, and levels of a run. A pair at the threshold shares a chosen token with probability
+#: 1 - 1/e at each level, so a run that goes down all levels finds it with at least ONE_RUN.
+RECALL, LEVELS = 0.995, 3
+ONE_RUN = (1 - math.exp(-1)) ** 2
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - ONE_RUN))
 #: Largest bucket compared pair by pair; members of a block in the exact count of links; minima in a sketch.
 SMALL, BLOCK, SKETCH = 64, 2048, 128
 #: Shingles up to which a set is compared by all its tokens, as a sketch of few shingles has too large an error.
@@ -65,11 +68,6 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) * 256 / 255
 
 
-def short(tokens: np.ndarray) -> np.ndarray:
-    """Sorted distinct 32-bit halves of a set's tokens."""
-    return np.unique((tokens >> np.uint64(32)).astype(np.uint32))
-
-
 def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of how many tokens each two sets share."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -99,7 +97,7 @@ def proposed(size: np.ndarray, sketches: np.ndarray, whole: list[bytes], thresho
     open_ = close & ~linked & few[:, None] & few
     if open_.any():
         at = np.flatnonzero(open_.any(axis=0))
-        sets = [np.frombuffer(whole[i], np.uint32) for i in at]
+        sets = [np.frombuffer(whole[i], np.uint64) for i in at]
         common, n = common_tokens(sets), np.array([len(x) for x in sets])
         linked[np.ix_(at, at)] |= (common >= threshold * (n[:, None] + n - common) - EXACT) & open_[np.ix_(at, at)]
     return linked
@@ -126,7 +124,7 @@ def scan(docs: DataFrame, threshold: float, n: int, with_paths: bool) -> DataFra
         schema = "id long, key binary, size int, sketch binary, whole binary, paths array<array<array<bigint>>>"
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.list_(pa.int64())))]
     else:
-        schema, kinds = "id long, tokens array<int>", [pa.int64(), pa.list_(pa.int32())]
+        schema, kinds = "id long, tokens array<bigint>", [pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +135,9 @@ def scan(docs: DataFrame, threshold: float, n: int, with_paths: bool) -> DataFra
                     continue
                 if with_paths:
                     key = np.array([len(tokens), np.add.reduce(tokens), np.add.reduce(mix(tokens)), np.bitwise_xor.reduce(mix(tokens + np.uint64(7)))], np.uint64).tobytes()
-                    rows.append((i, key, len(tokens), sketch(tokens), short(tokens).tobytes() if len(tokens) <= WHOLE else b"", chosen(tokens, threshold)))
+                    rows.append((i, key, len(tokens), sketch(tokens), tokens.tobytes() if len(tokens) <= WHOLE else b"", chosen(tokens, threshold)))
                 else:
-                    rows.append((i, short(tokens).view(np.int32)))
+                    rows.append((i, tokens.view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split(" ")[0] for c in schema.split(", ")])
 
@@ -195,7 +193,7 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
             near = (alike(s, lead) >= threshold - SLACK) & ~far if n else np.empty(0, bool)
             size, lead_size = (batch.column(k).to_numpy() for k in ("size", "lead_size"))
             for i in np.flatnonzero(~near & ~far & (size <= WHOLE) & (lead_size <= WHOLE)).tolist():
-                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint32) for k in ("whole", "lead_whole"))
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in ("whole", "lead_whole"))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near[i] = common >= threshold * (len(x) + len(y) - common) - EXACT
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array(near, pa.bool_())], names=["path", "run", "id", "lead", "near"])
@@ -280,7 +278,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     Words are separated by white space and compared in lower case; a text of fewer than n words has one shingle. n_links
     counts the other documents at or above the threshold, copies included; class_id is the least id that links lead to.
     Texts with equal sets are one text with a weight. Chosen paths (RUNS runs) propose edges by sketches; all members of
-    each proposed component are then compared exactly, so links are missed only where no run brought two texts together.
+    each proposed component are then compared exactly, on 64-bit hashes of shingles. A link is missed only where no run
+    brought two texts together and no chain of proposed pairs connects them, or where such a pair of over WHOLE shingles
+    is estimated more than SLACK too low; RUNS follows from the target RECALL.
     Null, empty and blank texts have no links; rows with a null id are left out; rows that repeat an id are one document
     with all their links. Other columns are not read.
     """
