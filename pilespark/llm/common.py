@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
+#: Edges up to which a round of components() broadcasts nodes with their least neighbour (two longs, 8 MB).
+BROADCAST_EDGES = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,22 +96,33 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    least_of = lambda df: scratch.keep(df.groupBy("u").agg(F.min("v").alias("m")))
     before = None
+    n_edges = now.count()
     while True:
+        # few edges: what is joined back is broadcast, and a round is one table
+        few = n_edges <= BROADCAST_EDGES
+        made: list[DataFrame] = []
+
+        def held(df: DataFrame, made=made, few=few) -> DataFrame:
+            if few:
+                return df
+            made.append(scratch.keep(df))
+            return made[-1]
+
+        back = F.broadcast if few else (lambda df: df)
         # large-star: every neighbour above a node moves to the least node around it, which is the node itself if it
         # has no neighbour below
-        least = least_of(now)
-        large = scratch.keep(now.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        least = held(now.groupBy("u").agg(F.min("v").alias("m")))
+        large = held(now.join(back(least.withColumnRenamed("u", "v")), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         # small-star: every neighbour below a node, and the node, move to the least of them
-        low = least_of(large)
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = held(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(back(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(now, least, large, low)
-        now = after
-        if tuple(state) == before:
+        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        scratch.drop(now, *made)
+        now, n_edges = after, state[0]
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     # in the end each edge leads from a node to its root
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
