@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import chunk_id
+from .asof import as_of
 
 
 def read_chunk(read_no: Column, n_reads: Column | int, chunks: int) -> Column:
@@ -41,9 +42,9 @@ def fasta_chunks(faidx: DataFrame, file_size: int, chunks: int) -> DataFrame:
     spark = faidx.sparkSession
     step = max(1, -(-file_size // chunks))
     cuts = spark.range(chunks).select((F.col("id") * step).alias("cut")).where(F.col("cut") < file_size)
-    # contigs of a file are few beside its bytes; each cut finds its contig by the ranges' containment
-    ends = faidx.select("contig", "offset_head", "offset_base")
-    hit = cuts.join(F.broadcast(ends), F.col("offset_head") <= F.col("cut"), "left").groupBy("cut").agg(F.max_by(F.struct("contig", "offset_head", "offset_base"), "offset_head").alias("c"))
+    # each cut finds the last contig that begins at or before it, without a join over an inequality
+    heads = faidx.select(F.col("offset_head").cast("long").alias("cut"), "contig", "offset_head", "offset_base")
+    hit = as_of(cuts, heads, "cut", (), ("contig", "offset_head", "offset_base")).select("cut", F.struct(*(F.col(f"{c}_asof").alias(c) for c in ("contig", "offset_head", "offset_base"))).alias("c"))
     placed = hit.select(F.when(F.col("cut") < F.col("c.offset_base"), F.col("c.offset_head")).otherwise(F.col("cut")).alias("begin"), "c").dropDuplicates(["begin"])
     w = Window.orderBy("begin")  # one row for each chunk
     return placed.select(

@@ -59,15 +59,8 @@ def range_scan(spark, sf_dir):
     return merge.scan_range(lens(spark, sf_dir, "obs"), 100, 199).select("chrom", "pos", "ref", "depth", "bases", "quals")
 
 
-@query("select chrom, pos, depth, bases from {obs} where line_no <= 2 union all select chrom, pos, depth, bases from {obs} where line_no > 5")
-def union_parts(spark, sf_dir):
-    obs = lens(spark, sf_dir, "obs")
-    pick = lambda c: obs.where(c).select("chrom", "pos", "depth", "bases")
-    return merge.union_parts(pick("line_no <= 2"), pick("line_no > 5"))
-
-
 @query("select chrom, pos, depth, bases from {obs}")
-def union_parts_all(spark, sf_dir):
+def union_parts(spark, sf_dir):
     """Two parts that make the whole."""
     obs = lens(spark, sf_dir, "obs")
     pick = lambda c: obs.where(c).select("chrom", "pos", "depth", "bases")
@@ -398,36 +391,20 @@ def asof_forward(spark, sf_dir):
     return found.select("event_id", "user_id", "view_asof")
 
 
-@query("""
-    with p as (select l_orderkey as line_0, l_orderkey + 400 as line_1 from lineitem where l_orderkey % 97 = 0 group by 1),
-    w as (select o_orderkey as line, o_orderkey * 31 as byte from orders where o_orderkey % 250 = 3)
-    select line_0, line_1, coalesce((select max(byte) from w where line <= line_0), 0) as range_0, coalesce((select min(byte) from w where line >= line_1), 999999999) as range_1 from p""")
-def line_byte_ranges(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0").select(F.col("l_orderkey").alias("line_0"), (F.col("l_orderkey") + 400).alias("line_1")).distinct()
-    windows = table(spark, sf_dir, "orders").where("o_orderkey % 250 = 3").select(F.col("o_orderkey").alias("line_number"), (F.col("o_orderkey") * 31).alias("compressed_byte"))
-    return asof.line_ranges(pairs, windows, 999_999_999)
-
-
 @query("""
     with p as (select l_orderkey as line_0, l_orderkey + 400 as line_1 from lineitem group by 1),
     w as (select o_orderkey as line, max(o_orderkey * 31) as byte from orders group by 1)
     select line_0, line_1, coalesce(b.byte, 0) as range_0, coalesce(e.byte, 999999999) as range_1
     from p asof left join w b on p.line_0 >= b.line asof left join w e on p.line_1 <= e.line""")
-def line_byte_ranges_all(spark, sf_dir):
+def line_byte_ranges(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line_0"), (F.col("l_orderkey") + 400).alias("line_1")).distinct()
     windows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_number"), (F.col("o_orderkey") * 31).alias("compressed_byte"))
     return asof.line_ranges(pairs, windows, 999_999_999)
 
 
 @query('select arg_min("window", (abs(line - 1234), line)) as "window" from (select o_custkey as "window", o_orderkey as line from orders) x')
-def nearest_window_all(spark, sf_dir):
-    windows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("line_number"))
-    return asof.nearest(windows, 1234)
-
-
-@query('select arg_min("window", (abs(line - 1234), line)) as "window" from (select o_custkey as "window", o_orderkey as line from orders where o_orderkey % 50 = 7) x')
 def nearest_window(spark, sf_dir):
-    windows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 7").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("line_number"))
+    windows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("line_number"))
     return asof.nearest(windows, 1234)
 
 
@@ -497,14 +474,11 @@ def listed_numbers(spark, sf_dir):
 
 
 @query("""
-    with d as (select 'd' || doc_id as contig, text from documents), b as (select item_id as read_id, text from benchmark),
+    with d as (select 'd' || doc_id as contig, upper(text) as text from documents), b as (select item_id as read_id, upper(text) as text from benchmark),
     i as (select contig, unnest(list_transform(range(0, len(text) - 15), lambda i: substr(text, cast(i + 1 as int), 16))) as kmer, unnest(range(0, len(text) - 15)) as pos from d where len(text) >= 16),
     s as (select read_id, unnest(list_transform(range(0, len(text) - 15, 8), lambda i: substr(text, cast(i + 1 as int), 16))) as kmer, unnest(range(0, len(text) - 15, 8)) as at_ from b where len(text) >= 16)
     select distinct read_id, contig, pos - at_ as diagonal from s join i on s.kmer = i.kmer""")
 def kmer_seed(spark, sf_dir):
     contigs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), F.col("text").alias("seq"))
     reads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), F.col("text").alias("seq"))
-    plain = lambda d, k, w: d.select(k, F.explode(kmer.kmers(F.col("seq"), 16, w)).alias("x"))
-    index = plain(contigs, "contig", 1).select(F.col("x.kmer").alias("kmer"), "contig", F.col("x.at").cast("long").alias("pos"))
-    seeds = plain(reads, "read_id", 8).select("read_id", F.col("x.kmer").alias("kmer"), F.col("x.at").cast("long").alias("at"))
-    return seeds.join(index, "kmer").select("read_id", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    return kmer.seed_hits(reads, kmer.kmer_index(contigs), 16, 8)

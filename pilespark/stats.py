@@ -18,16 +18,18 @@ class Stats:
     def __init__(self):
         self.timers: dict[str, dict[str, float]] = {}
         self.values: dict[str, object] = {}
+        self.began: dict[str, float] = {}
 
     def start(self, name: str) -> None:
         if name in self.timers:
             log.warning("timer %s starts again", name)
         self.timers[name] = {"t0": time.time()}
+        self.began[name] = time.perf_counter()
 
     def stop(self, name: str) -> None:
         timer = self.timers[name]
         timer["t1"] = time.time()
-        timer["elapsed"] = timer["t1"] - timer["t0"]
+        timer["elapsed"] = time.perf_counter() - self.began.pop(name)  # the wall clock may step back
 
     @contextmanager
     def timed(self, name: str):

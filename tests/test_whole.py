@@ -15,14 +15,14 @@ def test_line_byte_ranges_of_all_pairs_and_windows(spark):
     for k in keys:
         b, e = bisect.bisect_right(lines, k), bisect.bisect_left(lines, k + 400)
         want.add((k, k + 400, lines[b - 1] * 31 if b else 0, lines[e] * 31 if e < len(lines) else 999_999_999))
-    got = QUERIES["line_byte_ranges_all"](spark, SF).collect()
+    got = QUERIES["line_byte_ranges"](spark, SF).collect()
     assert len(got) == len(keys) and set(map(tuple, got)) == want
 
 
 def test_parts_make_the_whole(spark):
-    assert QUERIES["union_parts_all"](spark, SF).count() == lens(spark, SF, "obs").count()
+    assert QUERIES["union_parts"](spark, SF).count() == lens(spark, SF, "obs").count()
 
 
 def test_nearest_of_all_windows(spark):
     rows = [tuple(r) for r in table(spark, SF, "orders").select("o_custkey", "o_orderkey").collect()]
-    assert QUERIES["nearest_window_all"](spark, SF).first()[0] == min(rows, key=lambda r: (abs(r[1] - 1234), r[1]))[0]
+    assert QUERIES["nearest_window"](spark, SF).first()[0] == min(rows, key=lambda r: (abs(r[1] - 1234), r[1]))[0]
