@@ -45,13 +45,16 @@ def accumulate(queries: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int
                 scores[at] += values[:, None] * weights
             else:
                 scores[np.ix_(at, q)] += values[:, None] * weights
-    if scores.dtype == object:
-        if scores.size and (scores.max() >= 2**63 or scores.min() < -(2**63)):
-            raise OverflowError("a score does not fit 64 bits")
-        scores = scores.astype(np.int64)
     return scores
 
 
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """Scores that may be Python's whole numbers, as longs."""
+    if scores.dtype == object and len(scores) and not -(2**63) <= scores.min() <= scores.max() < 2**63:
+        raise OverflowError("a score does not fit 64 bits")
+    return scores.astype(np.int64, copy=False)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores; ties go to smaller ids."""
     if len(scores) > k:
@@ -104,7 +107,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
                     scores = accumulate(terms, len(held), postings(part.column(1).to_pylist()), len(ids))
                     for j in range(len(held)):
                         mine = ids != q_ids[j]
-                        s, i = np.concatenate([kept[j][0], scores[mine, j]]), np.concatenate([kept[j][1], ids[mine]])
+                        s, i = np.concatenate([kept[j][0], as_longs(scores[mine, j])]), np.concatenate([kept[j][1], ids[mine]])
                         at = best(s, i, k)
                         kept[j] = s[at], i[at]
             q = np.concatenate([np.full(len(s), q_ids[j]) for j, (s, _) in enumerate(kept)] or [np.empty(0, np.int64)])

@@ -77,6 +77,16 @@ def test_ngram_join_keeps_short_pairs(spark):
     assert [x for x, n in found.items() if n != 1] == []
 
 
+def test_ngram_join_of_odd_rows(spark):
+    """Repeated ids, a very long text, and columns that clash with those of the result."""
+    rng = random.Random(14)
+    long = words(rng, 30_000, 4000)
+    rows = [(1, "a b c d e f", "s", 0), (1, "a b c d e f", "s", 0), (2, "A b  c d e f", "s", 0), (3, long, "s", 0), (4, long + " tail", "s", 0), (5, None, "s", 0), (6, " ", "s", 0)]
+    frame = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "class_id").withColumnRenamed("n_removed", "n_links")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(frame).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (3, 1), 5: (5, 0), 6: (6, 0)}
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], DOCS)).count() == 0
 

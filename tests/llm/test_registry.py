@@ -44,3 +44,41 @@ def test_pipeline(spark):
             text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
             assert all(r["text"] == text[r["doc_id"]] for r in rows)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
+def stage_rows(spark, tmp_path, texts):
+    """Documents with null and repeated ids, rows that repeat, clashing columns, and the tables that stages read."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, class_id int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, 7, 7) for i, t in texts], columns)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, LEAK), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return docs
+
+
+LEAK = " ".join(f"leak{i}" for i in range(30))
+CLEAN = " ".join(f"clean{i}" for i in range(30))
+OTHER = " ".join(f"other{i}" for i in range(30))
+#: stage -> (id, text) of the rows that stay, of ODD.
+ODD = [(1, LEAK), (None, LEAK), (1, CLEAN), (2, OTHER), (2, OTHER), (None, OTHER), (3, None), (None, None), (4, ""), (5, "\r\n \n"), (6, "x " * 20_000 + "end")]
+STAY = {
+    "toxicity": ODD,
+    "line_dedup": [(1, LEAK), (1, CLEAN), (2, OTHER), (2, OTHER), (3, None), (None, None), (4, ""), (5, "\r\n \n"), (6, "x " * 20_000 + "end")],
+    "ngram_jaccard_join": [(1, LEAK), (1, CLEAN), (2, OTHER), (3, None), (None, None), (4, ""), (5, "\r\n \n"), (6, "x " * 20_000 + "end")],
+    "decontamination": [x for x in ODD if x[1] != LEAK],
+}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_of_odd_rows(spark, tmp_path, name):
+    docs = stage_rows(spark, tmp_path, ODD)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    made = stage(spark, docs, str(tmp_path))
+    rows = made.collect()
+    if name == "best_fit_packing":
+        assert sum(r["bin_id"] is None for r in rows) == 4 and sum(r["n_words"] for r in rows) == sum(len((t or "").split()) for _, t in ODD)
+    else:
+        assert made.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        key = lambda x: (str(x[0]), str(x[1]))
+        assert sorted(((r["doc_id"], r["text"]) for r in rows), key=key) == sorted(STAY[name], key=key)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -32,6 +32,13 @@ def test_token_counts(spark, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 4096)
 
 
+def test_token_counts_of_odd_rows(spark):
+    frame = docs(spark, ["one two"]).union(docs(spark, ["one two"])).union(docs(spark, ["x"]).selectExpr("cast(null as long)", "text", "source", "n_tokens"))
+    got = sorted((r["doc_id"] is None, r["n_bytes"]) for r in tokens.token_counts(frame, MODEL).collect())
+    assert got == [(False, 7), (False, 7), (True, 1)]
+    assert tokens.token_counts(frame.limit(0), MODEL).count() == 0
+
+
 def test_token_counts_of_json(spark):
     from tokenizers import Tokenizer
 
@@ -277,6 +284,27 @@ def test_overlap_finds_any_stretch_that_qualifies():
     assert rescued > 100
 
 
+def test_topk_does_not_wrap(spark):
+    """Products that pass 64 bits fail the job, whether in a component, a score or on the way."""
+    make = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    big = 2.0**21  # 2 ** 31 after scaling
+    got = topk.top_k(make([big, big, 1.0], [big, -big, 3.0], [0.0, 0.0, 1.0]), lambda i: i == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3 << 20), (2, 1 << 20)]
+    for rows in (([2.0**24] * 8, [2.0**24] * 8), ([3e38], [1.0])):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(make(*rows), lambda i: i == 0).collect()
+
+
+def test_packing_of_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 8)
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    rows = [(1, "same text here", "s", 1)] * 50 + [(None, None, None, 1)] * 30 + [(2, "w " * 450, "s", 1)]
+    found = packing.best_fit(spark.createDataFrame(rows, DOCS).withColumnRenamed("n_tokens", "part"), capacity=100).collect()
+    same = [r["bin_id"] for r in found if r["doc_id"] == 1]
+    assert len(same) == 50 == len(set(same)) and sum(r["bin_id"] is None for r in found) == 30
+    assert sum(r["n_words"] for r in found if r["doc_id"] == 2) == 450
+
+
 def test_packing_keeps_its_rules(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 100)
     rng = random.Random(1)
@@ -327,3 +355,11 @@ def test_licenses(spark):
     words = licenses.normal_words(texts[1])
     assert max(dice(licenses.bigrams(words), b) for _, _, b in licenses.TEMPLATES) < licenses.LEAST_PPM
     assert licenses.license_scan(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_licenses_of_odd_rows(spark):
+    """Null and repeated ids, rows that repeat, ties, clashing names."""
+    text = "Released under the MIT License."
+    frame = spark.createDataFrame([(None, text), (None, text), (1, text), (1, text), (2, None)], "doc_id long, text string").selectExpr("*", "1 as license", "2 as n_units")
+    got = sorted((r["doc_id"] or 0, r["license"], r["n_units"]) for r in licenses.license_scan(frame).collect())
+    assert got == [(0, "MIT", 2), (1, "MIT", 2)]
