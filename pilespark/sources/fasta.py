@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
+from itertools import pairwise
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.dna import header_name
+from .blocks import before_block, read_blocks, with_blocks
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -27,70 +31,56 @@ def contig_names(lines: DataFrame) -> DataFrame:
     return lines.groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
 
 
-class FastaSource(DataSource):
-    """`spark.read.format("fasta")`: one row for each sequence line, file split into byte ranges.
+def scanned_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, offset (bytes from the block's first line), size (bytes), header, contig, line, of every line.
 
-    Columns: offset (byte of the line), head (byte of its contig's header within the split, or null where the contig
-    began in an earlier split), contig, line. Options: path, splits. A split owns the lines that begin in it.
+    contig is the last header's within the block, or null where the contig began in an earlier block.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return "split int, offset long, header boolean, contig string, line string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastaReader(self.options)
-
-
-class FastaReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file:")
-        self.splits = int(options.get("splits", "4"))
-
-    def partitions(self) -> list[InputPartition]:
-        size = os.path.getsize(self.path)
-        step = max(1, -(-size // self.splits))
-        return [InputPartition((k, b, min(size, b + step))) for k, b in enumerate(range(0, size, step))]
-
-    def read(self, partition: InputPartition):
-        split, begin, end = partition.value
-        contig = None
-        with open(self.path, "rb") as f:
-            f.seek(max(0, begin - 1))
-            if begin and f.read(1) != b"\n":
-                f.readline()  # belongs to the split before
-            while (at := f.tell()) < end and (line := f.readline()):
-                text = line.rstrip(b"\r\n").decode()
-                if text.startswith(">"):
-                    contig = (text[1:].split() or [""])[0]
-                    yield split, at, True, contig, text
-                elif text:
-                    yield split, at, False, contig, text
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FastaSource)
-
-
-def read_lines(spark: SparkSession, path: str, splits: int = 4) -> DataFrame:
-    """contig, offset, line of every sequence line, whichever split its header is in."""
-    register(spark)
-    rows = spark.read.format("fasta").option("path", path).option("splits", str(splits)).load()
-    # the last header of each split, carried to the splits after it; one row for each split
-    last = rows.where("header").groupBy("split").agg(F.max_by("contig", "offset").alias("last"))
-    ids = spark.range(splits).select(F.col("id").cast("int").alias("split")).join(last, "split", "left")
-    before = ids.select("split", F.last("last", ignorenulls=True).over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    return rows.where("not header").join(F.broadcast(before), "split").select(F.coalesce("contig", "carried").alias("contig"), "offset", "line")
-
-
-def faidx(spark: SparkSession, path: str, splits: int = 4) -> DataFrame:
-    """contig, offset_head, offset_base: where each header begins, and the bases after it."""
-    register(spark)
-    rows = spark.read.format("fasta").option("path", path).option("splits", str(splits)).load()
-    return rows.where("header").select("contig", F.col("offset").alias("offset_head"), (F.col("offset") + F.octet_length("line") + 1).alias("offset_base"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place, contig = None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (file[1:] != file[:-1])) + 1
+            for b, e in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                part = batch.slice(b, e - b)
+                if (file[b], block[b]) != at:
+                    at, place, contig = (file[b], block[b]), 0, None
+                line = part.column(2)
+                size = pc.binary_length(line).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                header = pc.starts_with(line, ">")
+                name = pc.struct_field(pc.extract_regex(line, r"^>\s*(?P<name>\S*)"), [0])
+                name = pc.fill_null_forward(pc.if_else(header, name, pa.scalar(None, name.type)))
+                if contig is not None:
+                    name = pc.fill_null(name, contig)
+                ends = place + np.cumsum(size)
+                place, contig = int(ends[-1]), name[-1].as_py()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ends - size), pa.array(size), header, name, pc.utf8_rtrim(line, "\r")], names=["file", "block", "offset", "size", "header", "contig", "line"])
+
+    return read_blocks(spark, path).mapInArrow(run, "file string, block long, offset long, size long, header boolean, contig string, line string")
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset (in the file), size (bytes), header, contig, line of every line, whichever block its contig's header is in."""
+    rows = scanned_lines(spark, path)
+    # one row for each block: its bytes and its last header, carried to the blocks after it
+    last = F.max_by("contig", F.when(F.col("contig").isNotNull(), F.col("offset")))
+    sizes = rows.groupBy("file", "block").agg(F.sum("size").alias("bytes"), last.alias("last"))
+    blocks = sizes.select("file", "block", F.coalesce(F.sum("bytes").over(before_block()), F.lit(0)).alias("base"), F.last("last", ignorenulls=True).over(before_block()).alias("carried"))
+    return with_blocks(rows, blocks).select("file", (F.col("base") + F.col("offset")).alias("offset"), "size", "header", F.coalesce("contig", "carried").alias("contig"), "line")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, contig, offset, line of every sequence line of FASTA files, on any store that Spark reads, block by block."""
+    return placed_lines(spark, path).where("not header and line <> ''").select("file", "contig", "offset", "line")
+
+
+def faidx(spark: SparkSession, path: str) -> DataFrame:
+    """file, contig, offset_head, offset_base: where each header begins, and the bases after it."""
+    heads = placed_lines(spark, path).where("header")
+    return heads.select("file", "contig", F.col("offset").alias("offset_head"), (F.col("offset") + F.col("size")).alias("offset_base"))
 
 
 def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:

@@ -2,56 +2,31 @@
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-class FastqSource(DataSource):
-    """`spark.read.format("fastq")`: file, read_no (1-based), name, seq, qual. Options: path (may be a pattern), read_0 and
-    read_1 (1-based, inclusive). A file is one partition, for gzip cannot be split; repartition() what comes out."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self) -> str:
-        return "file string, read_no long, name string, seq string, qual string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastqReader(self.options)
-
-
-class FastqReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file:")
-        self.first, self.last = int(options.get("read_0", "1")), int(options["read_1"]) if "read_1" in options else None
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
-
-    def read(self, partition: InputPartition):
-        path = partition.value
-        with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
-            for n, name in enumerate(f, 1):
-                if self.last is not None and n > self.last:
-                    return
-                seq, plus, qual = (next(f, "").rstrip("\r\n") for _ in range(3))
-                if not name.startswith("@") or not plus.startswith("+") or len(seq) != len(qual):
-                    raise ValueError(f"{path}: record {n} is not FASTQ")
-                if n >= self.first:
-                    yield os.path.basename(path), n, (name[1:].split() or [""])[0], seq, qual
+from .blocks import numbered_lines
 
 
 def read_fastq(spark: SparkSession, path: str, read_0: int = 1, read_1: int | None = None) -> DataFrame:
-    spark.dataSource.register(FastqSource)
-    reader = spark.read.format("fastq").option("path", path).option("read_0", str(read_0))
-    return (reader if read_1 is None else reader.option("read_1", str(read_1))).load()
+    """file, read_no (1-based in its file), name, seq, qual of the records read_0 to read_1 (inclusive) of each file.
+
+    path may be a pattern or a folder, on any store that Spark reads. A plain file is read in blocks by many tasks, a gzip
+    file by one; the four lines of a record meet in a shuffle by file and record, so they may lie in two blocks. Blank lines
+    after the last record are passed over; anything else that is not FASTQ is an error.
+    """
+    place, record = (F.col("line_no") - 1) % 4, F.floor((F.col("line_no") - 1) / 4) + 1
+    lines = numbered_lines(spark, path).select("file", record.alias("read_no"), place.alias("place"), F.regexp_replace("line", r"\r$", "").alias("line"))
+    lines = lines.where(F.col("read_no") >= read_0)
+    if read_1 is not None:
+        lines = lines.where(F.col("read_no") <= read_1)
+    parts = [F.coalesce(F.max(F.when(F.col("place") == k, F.col("line"))), F.lit("")).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))]
+    records = lines.groupBy("file", "read_no").agg(*parts).where("concat(head, seq, plus, qual) <> ''")
+    fits = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
+    wrong = F.raise_error(F.concat("file", F.lit(": record "), F.col("read_no").cast("string"), F.lit(" is not FASTQ"))).cast("boolean")
+    return records.where(F.when(fits, F.lit(True)).otherwise(wrong)).select("file", "read_no", F.regexp_extract("head", r"^@\s*(\S*)", 1).alias("name"), "seq", "qual")
 
 
 def gzip_windows(path: str, span: int = 1 << 20, block: int = 65_536) -> list[tuple[int, int, int, int]]:

@@ -9,7 +9,7 @@ import pytest
 
 from pilespark.operators import external, merge
 from pilespark.pipeline import Params, Pipeline
-from pilespark.sources import fasta, fastq, mapfile, mpileup, runlog, storage
+from pilespark.sources import blocks, fasta, fastq, mapfile, mpileup, runlog, storage
 from pilespark.stats import Stats
 from pilespark.streaming import pileup as streaming
 
@@ -25,6 +25,13 @@ def genome(tmp_path_factory):
     return seqs, str(path)
 
 
+@pytest.fixture
+def blocks_of(spark):
+    """Files are read in blocks of so many bytes."""
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_contigs(spark, genome):
     seqs, path = genome
     rows = fasta.read_contigs(spark, path).orderBy("ord").collect()
@@ -32,24 +39,49 @@ def test_contigs(spark, genome):
 
 
 @pytest.mark.parametrize("splits", [1, 3, 17])
-def test_fasta_lines_and_index(spark, genome, splits):
+def test_fasta_lines_and_index(spark, genome, splits, blocks_of):
     seqs, path = genome
-    lines = fasta.read_lines(spark, path, splits).orderBy("offset").collect()
+    blocks_of(-(-len(open(path, "rb").read()) // splits))
+    assert fasta.read_lines(spark, path).rdd.getNumPartitions() >= min(splits, 4)
+    lines = fasta.read_lines(spark, path).orderBy("offset").collect()
     for name, seq in seqs.items():
         assert "".join(r["line"] for r in lines if r["contig"] == name) == seq
     data = open(path, "rb").read()
-    for r in fasta.faidx(spark, path, splits).collect():
+    for r in fasta.faidx(spark, path).collect():
         head = data[r["offset_head"] :]
         assert head.startswith(b">" + r["contig"].encode()) and data[r["offset_base"] - 1 : r["offset_base"]] == b"\n"
         assert data[r["offset_base"] :].startswith(seqs[r["contig"]][:60].encode())
 
 
+@pytest.mark.parametrize("size", [23, 64, 1 << 20])
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path, blocks_of, size):
+    blocks_of(size)
+    texts = {"a.txt": [f"line {i} " + "y" * (i % 37) for i in range(90)], "b.txt": [], "c.txt": ["", "x", ""]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+    rows = blocks.numbered_lines(spark, str(tmp_path / "*.txt")).collect()
+    for name, lines in texts.items():
+        assert sorted((r["line_no"], r["line"]) for r in rows if r["file"].endswith(name)) == list(enumerate(lines, 1))
+    both = blocks.zip_lines(blocks.numbered_lines(spark, str(tmp_path / "a.txt")), blocks.numbered_lines(spark, str(tmp_path / "c.txt"))).orderBy("line_no").collect()
+    assert [(r["a"], r["b"]) for r in both] == [(a, (texts["c.txt"] + [None] * 90)[i]) for i, a in enumerate(texts["a.txt"])]
+
+
+def test_fasta_with_carriage_returns_over_files(spark, tmp_path, blocks_of):
+    blocks_of(11)
+    (tmp_path / "a.fa").write_bytes(b">x one\r\nACGT\r\n\r\nAC\r\n>y\r\nGG\r\n")
+    (tmp_path / "b.fa").write_bytes(b"TT\n>z\nCCCCCCCCCCCCCCCCCCCCCCCC\nA")
+    lines = fasta.read_lines(spark, str(tmp_path / "*.fa")).collect()
+    assert sorted((r["file"][-4:], r["contig"], r["offset"], r["line"]) for r in lines if r["contig"]) == [("a.fa", "x", 8, "ACGT"), ("a.fa", "x", 16, "AC"), ("a.fa", "y", 24, "GG"), ("b.fa", "z", 6, "C" * 24), ("b.fa", "z", 31, "A")]
+    assert [r["line"] for r in lines if not r["contig"]] == ["TT"]
+    assert sorted((r["contig"], r["offset_head"], r["offset_base"]) for r in fasta.faidx(spark, str(tmp_path / "*.fa")).collect()) == [("x", 0, 8), ("y", 20, 24), ("z", 3, 6)]
+
+
 def test_fasta_round_trip(spark, genome, tmp_path):
     fasta.write_fasta(fasta.read_contigs(spark, genome[1]).coalesce(1), str(tmp_path / "out"))
     assert {r["contig"]: r["seq"] for r in fasta.read_contigs(spark, str(tmp_path / "out" / "part*")).collect()} == genome[0]
 
 
-def test_fastq(spark, tmp_path):
+def test_fastq(spark, tmp_path, blocks_of):
     text = "".join(f"@r{i} x\nACGT\n+\nII\"{chr(35 + i)}\n" for i in range(9))
     (tmp_path / "a.fq").write_text(text)
     with gzip.open(tmp_path / "b.fq.gz", "wt") as f:
@@ -58,6 +90,9 @@ def test_fastq(spark, tmp_path):
     assert len(rows) == 18 and {r["name"] for r in rows} == {f"r{i}" for i in range(9)}
     part = fastq.read_fastq(spark, str(tmp_path / "b.fq.gz"), 3, 5).orderBy("read_no").collect()
     assert [(r["read_no"], r["qual"]) for r in part] == [(3, 'II"%'), (4, 'II"&'), (5, "II\"'")]
+    blocks_of(31)
+    whole = fastq.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("read_no").collect()
+    assert [(r["read_no"], r["name"], r["qual"]) for r in whole] == [(i + 1, f"r{i}", f'II"{chr(35 + i)}') for i in range(9)]
     (tmp_path / "bad.fq").write_text("@r\nACGT\n+\nI\n")
     with pytest.raises(Exception, match="not FASTQ"):
         fastq.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
