@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, gigar, strata
-from ..operators import asof, kmer, merge, partition, pileup, ranges, runs, stratum
+from ..operators import asof, external, kmer, merge, partition, pileup, ranges, runs, stratum
+from ..sources import blocks, fasta, fastq, mapfile, mpileup, storage
 from .lenses import LENSES, lens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,3 +483,166 @@ def kmer_seed(spark, sf_dir):
     contigs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), F.col("text").alias("seq"))
     reads = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), F.col("text").alias("seq"))
     return kmer.seed_hits(reads, kmer.kmer_index(contigs), 16, 8)
+
+
+#: Customers as contigs: 160 bases made of digests, and a header of two words. Reads are 32 or 64 of their bases.
+HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
+CONTIG = "translate(" + " || ".join(f"md5('{k}-' || c_custkey)" for k in range(5)) + f", '{HEX}', '{BASES}')"
+CONTIGS = f"select c_custkey as ord, 'c' || c_custkey as contig, {CONTIG} as seq from {{customer}}"
+READS = f"select c_custkey as ord, 'r' || c_custkey as name, translate(md5('r-' || c_custkey), '{HEX}', '{BASES}') as seq, md5('q-' || c_custkey) as qual from {{customer}}"
+
+
+def made(spark, sf_dir, sql):
+    return spark.sql(sql, customer=table(spark, sf_dir, "customer"))
+
+
+def plain_sql(sql):
+    return sql.replace("{customer}", "customer")
+
+
+def fasta_folder(spark, sf_dir):
+    path = storage.shared_folder(spark, "fasta")
+    fasta.write_fasta(made(spark, sf_dir, CONTIGS), path)
+    return path
+
+
+@query(f"select contig, cast(k * 61 as bigint) as place, substr(seq, cast(60 * k + 1 as int), 60) as line from ({plain_sql(CONTIGS)}) c, range(3) t(k)")
+def fasta_lines(spark, sf_dir):
+    """Sequence lines of FASTA files, by their byte after the end of their contig's header."""
+    path = fasta_folder(spark, sf_dir)
+    heads = fasta.faidx(spark, path).select("file", "contig", "offset_base")
+    return fasta.read_lines(spark, path).join(heads, ["file", "contig"]).select("contig", (F.col("offset") - F.col("offset_base")).alias("place"), "line")
+
+
+@query(f"select contig, cast(length(contig) + 2 as bigint) as head_bytes from ({plain_sql(CONTIGS)}) c")
+def fasta_index(spark, sf_dir):
+    return fasta.faidx(spark, fasta_folder(spark, sf_dir)).select("contig", (F.col("offset_base") - F.col("offset_head")).alias("head_bytes"))
+
+
+@query(f"select contig, seq from ({plain_sql(CONTIGS)}) c")
+def fasta_contigs(spark, sf_dir):
+    return fasta.read_contigs(spark, fasta_folder(spark, sf_dir)).select("contig", "seq")
+
+
+@query(f"select contig, cast(3 as bigint) as n from ({plain_sql(CONTIGS)}) c")
+def fasta_names(spark, sf_dir):
+    return fasta.contig_names(fasta.read_lines(spark, fasta_folder(spark, sf_dir)))
+
+
+@query(f"select name, seq, qual from ({plain_sql(READS)}) r")
+def fastq_reads(spark, sf_dir):
+    """Reads written as gzip FASTQ and read back."""
+    path = storage.shared_folder(spark, "fastq")
+    fastq.write_fastq(made(spark, sf_dir, READS), path)
+    return fastq.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+@query(f"select * from (select row_number() over (order by ord) as read_no, name from ({plain_sql(READS)}) r) x where read_no between 41 and 120")
+def fastq_range(spark, sf_dir):
+    """Records 41 to 120 of one plain file: the range is what the operator takes."""
+    path = storage.shared_folder(spark, "fastq")
+    fastq.write_fastq(made(spark, sf_dir, READS).repartition(1).sortWithinPartitions("ord"), path, "none")
+    return fastq.read_fastq(spark, path, 41, 120).select("read_no", "name")
+
+
+@query(f"""
+    with c as (select c.contig as a, r.name as b, c.ord from ({plain_sql(CONTIGS)}) c join ({plain_sql(READS)}) r on c.ord = r.ord)
+    select row_number() over (order by ord) as line_no, a, b from c""")
+def zipped_lines(spark, sf_dir):
+    """Two files side by side, line by line."""
+    def lines(sql, column):
+        path = storage.shared_folder(spark, "lines")
+        made(spark, sf_dir, sql).repartition(1).sortWithinPartitions("ord").select(column).write.text(path)
+        return blocks.numbered_lines(spark, path)
+
+    return blocks.zip_lines(lines(CONTIGS, "contig"), lines(READS, "name"))
+
+
+@query(f"select ord as read_id, 'r' || ord as name, '1:0:0:0' as summary, contig || ':+:33:64' as alignments from ({plain_sql(CONTIGS)}) c")
+def align_reads(spark, sf_dir):
+    """Each contig's bases 33 to 96 as a read, which aligns where it comes from."""
+    contigs = made(spark, sf_dir, CONTIGS)
+    reads = contigs.select(F.col("ord").alias("read_id"), F.concat(F.lit("r"), F.col("ord").cast("string")).alias("name"), F.substring("seq", 33, 64).alias("seq"), F.lit("I" * 64).alias("qual"))
+    return kmer.align(reads, contigs.select("contig", "seq")).select("read_id", "name", "summary", "alignments")
+
+
+@query("select name, seq, qual, summary, alignments from {maps}")
+def map_records(spark, sf_dir):
+    """Records of single reads written as text and read back."""
+    path = storage.shared_folder(spark, "map")
+    mapfile.write_map(lens(spark, sf_dir, "maps"), path)
+    return mapfile.read_map(spark, path)
+
+
+@query("select name, seq, 'TTTT' as seq2, qual, 'JJJJ' as qual2, summary, alignments from {maps}")
+def map_records_paired(spark, sf_dir):
+    path = storage.shared_folder(spark, "map")
+    mapfile.write_map(lens(spark, sf_dir, "maps").withColumns({"seq2": F.lit("TTTT"), "qual2": F.lit("JJJJ")}), path, paired=True)
+    return mapfile.read_map(spark, path, paired=True)
+
+
+@query(MERGED)
+def mpileup_text(spark, sf_dir):
+    """The merged pileup written in order as one text and read back."""
+    path = storage.shared_folder(spark, "mpileup")
+    mpileup.write_text(merge.merge_pileups(lens(spark, sf_dir, "obs")), path, single_file=True)
+    return mpileup.read_text(spark, path)
+
+
+@query(MERGED)
+def mpileup_table(spark, sf_dir):
+    """The same as Parquet, partitioned by contig."""
+    path = storage.shared_folder(spark, "pileups")
+    mpileup.write_pileups(merge.merge_pileups(lens(spark, sf_dir, "obs")), path)
+    return mpileup.read_pileups(spark, path)
+
+
+@query(f"""
+    with o as (select pos from {{obs}}), t as (select max(pos) as top from o), b as (select unnest(range(1, cast(ceil(top / {WIDTH}.0) as bigint) + 1)) as bin, top from t),
+    n as (select cast(ceil(pos / {WIDTH}.0) as bigint) as bin, count(*) as n from o group by 1)
+    select cast(least(b.bin * {WIDTH}, top) as bigint) as upper, coalesce(n.n, 0) as n from b left join n on b.bin = n.bin""")
+def histogram_text(spark, sf_dir):
+    path = storage.shared_folder(spark, "histogram")
+    mpileup.write_histogram(ranges.binned_histogram(lens(spark, sf_dir, "obs"), WIDTH), path)
+    return mpileup.read_histogram(spark, path)
+
+
+@query('select o_custkey as "window", o_orderkey as compressed_byte, o_orderkey * 3 as uncompressed_byte, o_orderkey + 1 as line_number from orders')
+def window_listing(spark, sf_dir):
+    """An index tool's listing, parsed, stored as a table and read back."""
+    listed = table(spark, sf_dir, "orders").select(F.format_string("#%d: @ %d / %d L%d ( 32768 @20 )", "o_custkey", "o_orderkey", F.col("o_orderkey") * 3, F.col("o_orderkey") + 1).alias("value"))
+    path = storage.shared_folder(spark, "windows")
+    fastq.parse_listing(listed).write.parquet(path)
+    return spark.read.parquet(path).select("window", "compressed_byte", "uncompressed_byte", "line_number")
+
+
+@query("select read_id, cast(0 as int) as aln, 'ref' as chrom, strand, start, gigar from {gigars} where gigar <> '4>2+8'")
+def double_gaps(spark, sf_dir):
+    """Alignments without two gaps in a row; those of one kind get a second gap here."""
+    gigars = lens(spark, sf_dir, "gigars").withColumn("gigar", F.regexp_replace("gigar", "^4>2[+]8$", "4>2+>1-8"))
+    reads = gigars.select("read_id", F.lit(SEQ).alias("seq"), F.lit(QUAL).alias("qual"), F.concat_ws(":", F.lit("ref"), "strand", F.col("start").cast("string"), "gigar").alias("alignments"))
+    return pileup.explode_alignments(reads).select("read_id", "aln", "chrom", "strand", F.col("start").cast("long").alias("start"), "gigar")
+
+
+@query("select stage, cast(sum(bytes) as double) as seconds, cast(sum(bytes) * 2 as double) as cost from {moves} group by rollup (stage)")
+def compute_cost(spark, sf_dir):
+    moves = lens(spark, sf_dir, "moves").select("stage", F.lit(0.0).alias("t0"), F.col("bytes").cast("double").alias("t1"))
+    return runs.compute_cost(moves, 2.0)
+
+
+@query("select stage, cast(round(sum(bytes) * 1.0 + sum(bytes) * 0.5) as bigint) as cost from {moves} group by rollup (stage)")
+def scan_cost(spark, sf_dir):
+    moves = lens(spark, sf_dir, "moves").select("stage", (F.col("bytes") * 1_000_000_000).alias("bytes_scanned"), (F.col("bytes") * 1000).alias("kb_returned"))
+    return runs.scan_cost(moves, 1.0, 0.5).select("stage", F.round("cost").cast("long").alias("cost"))
+
+
+@query("select page_id, page_id % 4 < 3 as found from pages")
+def accessions(spark, sf_dir):
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("SRR", "ERR", "DRR", "SRX"))), (F.col("page_id") % 4 + 1).cast("int")), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", dna.is_accession(text).alias("found"))
+
+
+@query("select translate(n_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as value from nation")
+def piped_lines(spark, sf_dir):
+    """Lines through a program."""
+    return external.pipe(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")), ["tr", "A-Z", "a-z"])

@@ -29,6 +29,11 @@ def read_fastq(spark: SparkSession, path: str, read_0: int = 1, read_1: int | No
     return records.where(F.when(fits, F.lit(True)).otherwise(wrong)).select("file", "read_no", F.regexp_extract("head", r"^@\s*(\S*)", 1).alias("name"), "seq", "qual")
 
 
+def write_fastq(reads: DataFrame, path: str, compression: str = "gzip") -> None:
+    """reads(name, seq, qual) as text, one file a partition."""
+    reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+
+
 def gzip_windows(path: str, span: int = 1 << 20, block: int = 65_536) -> list[tuple[int, int, int, int]]:
     """(window, compressed_byte, uncompressed_byte, line_number): where decompression stands about every `span` bytes.
 

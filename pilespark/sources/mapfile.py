@@ -24,6 +24,11 @@ def read_map(spark: SparkSession, path: str, paired: bool = False) -> DataFrame:
     return parse_map(spark.read.text(path), paired)
 
 
+def write_map(records: DataFrame, path: str, paired: bool = False) -> None:
+    """Records as text; columns beyond the fields are left out."""
+    records.select(F.concat_ws("\t", *(PAIRED if paired else SINGLE)).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
     """path, value: lines of the members of ZIP containers, a container a row of work."""
 

@@ -35,3 +35,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def histogram_lines(histogram: DataFrame) -> DataFrame:
     """`upper:n` lines of a binned histogram, in order."""
     return histogram.orderBy("upper").select(F.concat_ws(":", F.col("upper").cast("string"), F.col("n").cast("string")).alias("value"))
+
+
+def write_histogram(histogram: DataFrame, path: str) -> None:
+    """The same lines as text; bins are few, so one file keeps their order."""
+    histogram_lines(histogram).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """upper, n of `upper:n` lines."""
+    f = F.split("value", ":")
+    return spark.read.text(path).select(F.get(f, F.lit(0)).cast("long").alias("upper"), F.get(f, F.lit(1)).cast("long").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,20 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name where the driver and all executors read and write: under spark.checkpoint.dir.
+
+    Where the session names none, a temporary folder serves, but only if the session is one process.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = tempfile.mkdtemp(prefix="pilespark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/pilespark-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, length, modified of the files under a folder; only metadata is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
