@@ -30,12 +30,12 @@ def reference_windows(contigs: DataFrame, width: int, overlap: int) -> DataFrame
 def kmer_index(contigs: DataFrame, k: int = 16, width: int = 65_536) -> DataFrame:
     """kmer, contig, pos (0-based) of every k-mer of contigs(contig, seq)."""
     windows = reference_windows(contigs, width, k - 1)
-    return windows.select("contig", "first", F.explode(kmers(F.col("bases"), k)).alias("x")).select(F.col("x.kmer").alias("kmer"), "contig", (F.col("first") + F.col("x.at")).alias("pos"))
+    return windows.select("contig", "first", F.explode(kmers(F.col("bases"), k)).alias("x")).select(F.decode("x.kmer", "UTF-32").alias("kmer"), "contig", (F.col("first") + F.col("x.at")).alias("pos"))
 
 
 def seed_hits(reads: DataFrame, index: DataFrame, k: int = 16, step: int = 8) -> DataFrame:
     """read_id, contig, diagonal: places where some seed of a read(read_id, seq) puts its first base."""
-    seeds = reads.select("read_id", F.explode(kmers(F.upper("seq"), k, step)).alias("x")).select("read_id", F.col("x.kmer").alias("kmer"), F.col("x.at").alias("at"))
+    seeds = reads.select("read_id", F.explode(kmers(F.upper("seq"), k, step)).alias("x")).select("read_id", F.decode("x.kmer", "UTF-32").alias("kmer"), F.col("x.at").alias("at"))
     return seeds.join(index, "kmer").select("read_id", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
@@ -52,13 +52,14 @@ def gigar_of(read: Column, reference: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("="), F.length(p).cast("string")).otherwise(p)), "")
 
 
-def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step: int = 8, width: int = 65_536) -> DataFrame:
-    """reads(read_id, name, seq, qual) -> read_id, name, seq, qual, summary, alignments; contigs(contig, seq).
+def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step: int = 8, width: int = 65_536, by: tuple[str, ...] = ()) -> DataFrame:
+    """reads(read_id, name, seq, qual) -> read_id, name, seq, qual, summary, alignments, by; contigs(contig, seq, by).
 
-    Both strands are tried. Candidate places are checked against windows of the reference, joined by contig and window;
+    A read has a record for each value of the contigs' columns `by` among its alignments, all found in one pass. Both strands are tried. Candidate places are checked against windows of the reference, joined by contig and window;
     alignments of up to `most` mismatches are listed by stratum, contig, place and strand. A read without any has the
-    summary `0:..:0` and alignments `-`.
+    summary `0:..:0` and alignments `-`, and nulls in `by`.
     """
+    contigs = contigs.select(F.struct("contig", *by).alias("contig"), "seq")
     upper = F.upper("seq")
     both = reads.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), upper.alias("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(upper).alias("seq")))).alias("s")).select("read_id", "s.strand", "s.seq")
     keyed = both.withColumn("read_id", F.struct("read_id", "strand"))
@@ -72,8 +73,8 @@ def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step
     # on the reverse strand tokens follow the read: from its last reference base to its first, as their complements
     forward = F.col("strand") == "+"
     gigar = F.when(forward, gigar_of(F.col("seq"), F.col("reference"))).otherwise(gigar_of(reverse_complement(F.col("seq")), reverse_complement(F.col("reference"))))
-    text = F.concat_ws(":", "contig", "strand", (F.col("diagonal") + 1).cast("string"), gigar)
-    listed = found.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("errors", "contig", "diagonal", "strand", text.alias("text")))).alias("a"))
+    text = F.concat_ws(":", "contig.contig", "strand", (F.col("diagonal") + 1).cast("string"), gigar)
+    listed = found.groupBy("read_id", *(F.col("contig").getField(c).alias(c) for c in by)).agg(F.array_sort(F.collect_list(F.struct("errors", "contig.contig", "diagonal", "strand", text.alias("text")))).alias("a"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: F.size(F.filter("a", lambda x: x["errors"] == e)).cast("string"))
-    summed = listed.select("read_id", F.array_join(counts, ":").alias("summary"), F.array_join(F.transform("a", lambda x: x["text"]), ",").alias("alignments"))
-    return reads.join(summed, "read_id", "left").select("read_id", "name", "seq", "qual", F.coalesce("summary", F.lit(":".join("0" * (most + 1)))).alias("summary"), F.coalesce("alignments", F.lit("-")).alias("alignments"))
+    summed = listed.select("read_id", *by, F.array_join(counts, ":").alias("summary"), F.array_join(F.transform("a", lambda x: x["text"]), ",").alias("alignments"))
+    return reads.join(summed, "read_id", "left").select("read_id", "name", "seq", "qual", F.coalesce("summary", F.lit(":".join("0" * (most + 1)))).alias("summary"), F.coalesce("alignments", F.lit("-")).alias("alignments"), *by)

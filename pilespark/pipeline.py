@@ -100,11 +100,8 @@ class Pipeline:
         contigs, reads = self.preprocess()
 
         def mapped() -> DataFrame:
-            parts = []
-            for chunk in range(p.fasta_chunks):
-                part = kmer.align(reads.drop("chunk_id"), contigs.where(F.col("chunk_id") == chunk), p.seed, p.most_mismatches)
-                parts.append(part.withColumn("fasta_chunk", F.lit(chunk)))
-            return merge.union_parts(*parts)
+            records = kmer.align(reads.drop("chunk_id"), contigs, p.seed, p.most_mismatches, by=("chunk_id",))
+            return records.withColumnRenamed("chunk_id", "fasta_chunk")
 
         records = self.kept("map", mapped)
         index = stratum.index_reads(records)
