@@ -363,3 +363,23 @@ def test_licenses_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, text), (None, text), (1, text), (1, text), (2, None)], "doc_id long, text string").selectExpr("*", "1 as license", "2 as n_units")
     got = sorted((r["doc_id"] or 0, r["license"], r["n_units"]) for r in licenses.license_scan(frame).collect())
     assert got == [(0, "MIT", 2), (1, "MIT", 2)]
+
+
+def test_licenses_wrapped_over_lines(spark):
+    grant, apache = licenses.NOTICES[3][1], licenses.NOTICES[5][1]
+    words = grant.split(" ")
+    wrapped = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    commented = "\n".join(" * " + " ".join(apache.split(" ")[i : i + 9]) for i in range(0, len(apache.split(" ")), 9))
+    code = "\nint main(int argc, char **argv) {\n  return argc;\n}\n" + "\n".join(f"static int value_{i} = {i};" for i in range(300))
+    texts = [wrapped + code, "#include <a.h>\n/*\n" + commented + "\n */" + code, code, "license\n" * 40, "license " + "z" * 10_000 + "\nlicense\n\n"]
+    got = licenses.license_scan(docs(spark, texts)).collect()
+    found = {r["doc_id"]: (r["license"], r["best_ppm"], r["n_units"]) for r in got}
+    assert found[0] == ("MIT", 1_000_000, 0) and found[1] == ("Apache-2.0", 1_000_000, 0) and set(found) == {0, 1}
+    for r in got:
+        lines = texts[r["doc_id"]].split("\n")
+        cues = [i for i, x in enumerate(lines) if re.search(licenses.CUES, x.lower())]
+        starts = {s for i in cues for s in range(max(0, i - licenses.BEFORE), i + 1)}
+        cut = ["\n".join(lines[s : s + k]) for s in starts for k in range(2, min(licenses.RUN_LINES, len(lines) - s) + 1) if k < len(lines)]
+        own = [licenses.bigrams(licenses.normal_words(x)) for x in cut if len(x) <= licenses.RUN_CHARS]
+        best = [max((int(2_000_000 * len({*a} & {*b}) / (len(a) + len(b))), -i) for _, i, b in licenses.TEMPLATES) for a in own]
+        assert r["n_runs"] == sum(p >= licenses.LEAST_PPM and -i == r["template"] for p, i in best) > 0
