@@ -21,10 +21,18 @@ def kmers(text: Column, k: int, step: int = 1) -> Column:
     return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), each), 1)
 
 
+def upper_ascii(text: str) -> Column:
+    """A column in capitals, place by place: the upper case of other characters may be longer and would move what follows."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def reference_windows(contigs: DataFrame, width: int, overlap: int) -> DataFrame:
     """contig, first (0-based), bases: windows of `width` bases and `overlap` more, so that long contigs spread out."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width))
-    return contigs.where(F.length("seq") > 0).select("contig", "seq", F.explode(starts).alias("first")).select("contig", "first", F.upper(F.substring(F.col("seq").cast("binary"), F.col("first") + 1, F.lit(width + overlap)).cast("string")).alias("bases"))
+    # cut from characters of one width, so that no window is counted off from the beginning of its contig
+    coded = contigs.select("contig", F.encode(upper_ascii("seq"), "UTF-32").alias("codes")).where(F.length("codes") > 0)
+    starts = F.sequence(F.lit(0), (F.length("codes") / 4).cast("int") - 1, F.lit(width))
+    bases = F.decode(F.substring(F.col("codes"), F.col("first") * 4 + 1, F.lit(4 * width) + 4 * overlap), "UTF-32")
+    return coded.select("contig", "codes", F.explode(starts).alias("first")).select("contig", "first", bases.alias("bases"))
 
 
 def kmer_index(contigs: DataFrame, k: int = 16, width: int = 65_536) -> DataFrame:
@@ -35,7 +43,7 @@ def kmer_index(contigs: DataFrame, k: int = 16, width: int = 65_536) -> DataFram
 
 def seed_hits(reads: DataFrame, index: DataFrame, k: int = 16, step: int = 8) -> DataFrame:
     """read_id, contig, diagonal: places where some seed of a read(read_id, seq) puts its first base."""
-    seeds = reads.select("read_id", F.explode(kmers(F.upper("seq"), k, step)).alias("x")).select("read_id", F.decode("x.kmer", "UTF-32").alias("kmer"), F.col("x.at").alias("at"))
+    seeds = reads.select("read_id", F.explode(kmers(upper_ascii("seq"), k, step)).alias("x")).select("read_id", F.decode("x.kmer", "UTF-32").alias("kmer"), F.col("x.at").alias("at"))
     return seeds.join(index, "kmer").select("read_id", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
