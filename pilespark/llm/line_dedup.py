@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small
+from .common import Scratch, components, partitions, small
 
 #: Characters of a shingle; bands of a signature and minima in a band: at a similarity of 0.8 a pair shares a band with
 #: probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997 if minima are independent.
@@ -15,11 +15,13 @@ BINS = BANDS * WIDTH
 #: hash is below a bound. Bins from which an empty one borrows, before it takes the first that is full.
 SOUGHT, TRIES = 72, 6
 #: Lines of a block, and characters in one of them; buckets with lines unlike their pivot are compared in pairs of blocks.
-BLOCK, BLOCK_CHARS = 128, 1 << 18
+BLOCK, BLOCK_CHARS = 512, 1 << 20
 #: Rows of a few longs that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Lines that are held against one copy of their pivot, and that hang on one node in the edges.
 SHARE = 256
+#: 64-bit words of a line's bitmap of shingles; 2,048 bits tell lines of up to some 2,500 characters apart.
+WORDS = 32
 
 
 def let(value: Column, body) -> Column:
@@ -46,10 +48,36 @@ def shingles(line: Column) -> Column:
     return let(code_points(line), lambda b: F.array_distinct(F.transform(starts(b), lambda i: shingle(b, i))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct hashes."""
-    ratio = lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n))
-    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two arrays of distinct hashes have a Jaccard similarity of at least threshold, in millionths.
+
+    n / (|a| + |b| - n) >= t is n * (1 + t) >= t * (|a| + |b|), which has the intersection once and no rounding.
+    """
+    t = round(threshold * 1_000_000)
+    return F.size(F.array_intersect(a, b)).cast("long") * (1_000_000 + t) >= (F.size(a) + F.size(b)).cast("long") * t
+
+
+def bitmaps(held: DataFrame) -> DataFrame:
+    """(id, width, w0, w1, ...) of held(id, line): the number of its shingles, repeats included, and a bit for each one's hash."""
+    codes = held.select("id", code_points(F.col("line")).alias("codes"))
+    rows = codes.select("id", F.explode(starts(F.col("codes"))).alias("at"), "codes").select("id", F.pmod(shingle(F.col("codes"), F.col("at")), F.lit(64 * WORDS)).cast("int").alias("bit"))
+    one = F.expr("shiftleft(1L, bit % 64)")
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == j, one)), F.lit(0)).alias(f"w{j}") for j in range(WORDS)]
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("width"), *words)
+
+
+def may_be_alike(a: dict[str, Column], b: dict[str, Column], threshold: float) -> Column:
+    """Whether two rows of bitmaps(), by name, leave room for a similarity of threshold; never false for lines that have it.
+
+    Each bit that only one line has stands for a shingle at least that the other lacks, so with d such bits and s shingles
+    in both, repeats included, n <= (s - d) / 2 are common and n / (n + d) is the most the similarity can be.
+    """
+    t = round(threshold * 1_000_000)
+    d = F.bit_count(a["w0"].bitwiseXOR(b["w0"]))
+    for j in range(1, WORDS):
+        d = d + F.bit_count(a[f"w{j}"].bitwiseXOR(b[f"w{j}"]))
+    s = a["width"] + b["width"]
+    return s * (1_000_000 - t) >= d.cast("long") * (1_000_000 + t)
 
 
 def occurrences(docs: DataFrame, *columns: str) -> DataFrame:
@@ -92,7 +120,11 @@ def starred(pairs: DataFrame, held: DataFrame, threshold: float, scratch: Scratc
     many = scratch.keep(counted.where("shares > 1"))
     dealt = pairs.join(small(many, BROADCAST_ROWS), "pivot", "left").join(held, "id")
     dealt = dealt.select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "id", "line")
-    near = scratch.keep(dealt.join(lead, ["pivot", "share"]).where(jaccard(shingles(F.col("line")), shingles(F.col("other"))) >= threshold).select("id", "pivot", "share"))
+    # few bytes may be long work: a fixed number of partitions is not coalesced, and a pivot's set is made once a share
+    n = partitions(pairs.sparkSession)
+    dealt = dealt.repartition(n, "pivot", "share")
+    lead = lead.repartition(n, "pivot", "share").select("pivot", "share", shingles(F.col("other")).alias("set"))
+    near = scratch.keep(dealt.join(lead, ["pivot", "share"]).where(alike(shingles(F.col("line")), F.col("set"), threshold)).select("id", "pivot", "share"))
     heads = near.groupBy("pivot", "share").agg(F.min("id").alias("head"))
     return near.join(heads, ["pivot", "share"]).select(F.col("id").alias("a"), F.when(F.col("id") == F.col("head"), F.col("pivot")).otherwise(F.col("head")).alias("b"))
 
@@ -103,12 +135,14 @@ def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -
     texts(ids) gives the lines (id, line) of some ids. All lines that share a band are compared with the least of them,
     the bucket's pivot. Two lines that edges connect already need no comparison. Where a bucket still has lines of
     several components, the least line outside the pivot's component is held against the others, too; and in what is left
-    after that all pairs of different components are compared, so no pair that shares a band is left out. For this a
-    bucket is dealt out in pairs of blocks of some BLOCK lines, and a task holds two blocks however large the bucket; the
-    comparisons grow with the lines outside the pivot's component times the lines of a bucket.
+    after that all pairs of different components are compared, each in the first band it shares, so no pair that shares
+    a band is left out. For this a bucket is dealt out in pairs of blocks of some BLOCK lines, and a task holds two blocks
+    however large the bucket; the comparisons grow with the lines outside the pivot's component times the lines of a
+    bucket, and most need the lines' bitmaps only.
     """
     spark = lines.sparkSession
     banded = lines.select("id", F.explode("bands").alias("key"))
+    n = partitions(spark)
     # most keys belong to one line
     keys = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot"))
     met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").distinct())
@@ -133,21 +167,47 @@ def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -
     rest = mixed(rest.select("key", "id").join(least, "key"), edges)
     if rest.isEmpty():
         return edges
-    rest = rest.join(held.select("id", F.length("line").alias("chars")), "id").select("key", "id", "root", "chars", (F.col("root") != F.col("home")).alias("open"))
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"))
-    # of the buckets with the same lines, as several bands give, one is enough
-    sizes = sizes.groupBy("n", "chars", "ids").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    # which band a key is of, and the bands of its lines, to compare a pair in one bucket only
+    ids = scratch.keep(rest.select("id").distinct())
+    bands = lines.join(small(ids, BROADCAST_ROWS), "id", "left_semi")
+    facts = scratch.keep(bitmaps(held.join(small(ids, BROADCAST_ROWS), "id", "left_semi")).join(bands, "id").join(held.select("id", F.length("line").alias("chars")), "id"))
+    rest = rest.join(facts.select("id", "chars", "bands"), "id").select("key", "id", "root", "chars", (F.col("root") != F.col("home")).alias("open"), F.array_position("bands", F.col("key")).alias("band"))
+    sizes = rest.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"))
+    # of the buckets with the same lines, as several bands give, the one of the first band is enough
+    sizes = sizes.groupBy("n", "chars", "ids").agg(F.min(F.struct("band", "key")).alias("x")).select("x.key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     rest = scratch.keep(rest.drop("chars").join(scratch.keep(sizes), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
     # an open line's block meets every block
     group = lambda i, j: F.xxhash64("key", i, j).alias("group")
     blocks = rest.where("open").select("key", F.col("mine").alias("asker")).distinct()
-    asked = rest.join(blocks, "key").select(group("asker", "mine"), "id", "root", "open").join(held, "id")
-    asking = rest.where("open").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "root").join(held, "id")
-    right = asked.repartition("group").select("group", F.col("id").alias("b"), F.col("root").alias("root_b"), "open", shingles(F.col("line")).alias("other"))
-    left = asking.repartition("group").select("group", F.col("id").alias("a"), F.col("root").alias("root_a"), shingles(F.col("line")).alias("set"))
-    close = F.least(F.size("set"), F.size("other")) >= threshold * F.greatest(F.size("set"), F.size("other"))
-    pairs = left.join(right, "group").where((F.col("root_a") != F.col("root_b")) & (~F.col("open") | (F.col("a") < F.col("b")))).where(close)
-    return edges.union(pairs.where(jaccard(F.col("set"), F.col("other")) >= threshold).select("a", "b").distinct())
+    asked = rest.join(blocks, "key").select(group("asker", "mine"), "id", "root", "open")
+    asking = rest.where("open").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "root", "band")
+    told = facts.drop("chars").join(held, "id")
+    return edges.union(compared(asking.join(told, "id"), asked.join(told, "id"), threshold, n))
+
+
+def compared(asking: DataFrame, asked: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Edges (a, b) between lines of two roots of asking and asked(group, id, root, line, bands, width, w0, ...) in a group.
+
+    asking also has band, the place in bands of the bucket, and asked has open. The cheap conditions come first: that the
+    bucket is the first they share, then their bitmaps. Columns that are known not to be null keep the condition short
+    enough for the JVM to compile.
+    """
+    numbers = ["width", *(f"w{j}" for j in range(WORDS))]
+
+    def side(df: DataFrame) -> DataFrame:
+        known = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("id", "root", *numbers)]
+        keys = [F.coalesce(F.get("bands", F.lit(i)), F.lit(0).cast("long")).alias(f"k{i}") for i in range(BANDS - 1)]
+        more = [F.coalesce(c, d).alias(c) for c, d in (("band", F.lit(0).cast("long")), ("open", F.lit(True))) if c in df.columns]
+        return df.repartition(n, "group").select("group", *known, *keys, *more, shingles(F.col("line")).alias("set"))
+
+    left, right = side(asking).alias("l"), side(asked).alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))  # noqa: E741
+    wanted = (l("group") == r("group")) & (l("root") != r("root")) & (~r("open") | (l("id") < r("id")))
+    for i in range(BANDS - 1):
+        wanted = wanted & ((l("band") <= i + 1) | (l(f"k{i}") != r(f"k{i}")))
+    a, b = ({c: x(c) for c in numbers} for x in (l, r))
+    pairs = left.join(right, wanted & may_be_alike(a, b, threshold) & alike(l("set"), r("set"), threshold))
+    return pairs.select(l("id").alias("a"), r("id").alias("b")).distinct()
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
