@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pilespark.llm import line_dedup, ngram_join, suffix_dedup
 
@@ -139,6 +140,32 @@ def test_lines_are_alike_by_all_their_substrings(spark):
     assert [got[2 * i + 1] == 1 for i in range(120)] == want
 
 
+def test_bitmaps_rule_out_no_like_lines(spark):
+    rng = random.Random(5)
+    lines = ["", "a", "short", "ab" * 400]
+    for n in (12, 60, 700, 3000):
+        base = [rng.choice("abcdefgh ") for _ in range(n)]
+        for edits in (0, 1, n // 100, n // 60, n // 20, n):
+            line = list(base)
+            for _ in range(edits):
+                line[rng.randrange(n)] = rng.choice("xyz")
+            lines.append("".join(line))
+    held = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rows = line_dedup.bitmaps(held).join(held, "id").withColumn("set", line_dedup.shingles(F.col("line")))
+    names = [c for c in rows.columns if c not in ("id", "line", "set")]
+    a, b = rows.alias("a"), rows.alias("b")
+    room = line_dedup.may_be_alike(*({c: F.col(f"{x}.{c}") for c in names} for x in "ab"), 0.8)
+    pairs = a.join(b, F.col("a.id") < F.col("b.id")).select(room.alias("room"), line_dedup.alike(F.col("a.set"), F.col("b.set"), 0.8).alias("like"), F.col("a.line").alias("x"), F.col("b.line").alias("y"))
+    grams = lambda t: {t[i : i + 9] for i in range(max(1, len(t) - 8))}
+    found = 0
+    for r in pairs.collect():
+        x, y = grams(r.x), grams(r.y)
+        assert r.like == (len(x & y) / len(x | y) >= 0.8)
+        assert r.room or not r.like
+        found += r.like
+    assert found > 4
+
+
 def test_like_lines_meet_in_a_crowded_family(spark, monkeypatch):
     """Lines of one template share bands and are unlike each other; only the planted pairs are alike."""
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
