@@ -154,6 +154,24 @@ def test_line_ranges(spark):
     assert empty == [(50, 150, 0, 99)]
 
 
+def test_as_of_is_spread_and_one_pass(spark):
+    rng = random.Random(6)
+    at = [rng.randrange(1000) for _ in range(400)] + [None]
+    keys = [rng.choice([3, 5, 500, 501, 990, 1200]) for _ in range(300)] + [None]
+    left = spark.createDataFrame([(k,) for k in keys], "at long")
+    right = spark.createDataFrame([(x, i) for i, x in enumerate(at)], "at long, v long")
+    for forward in (False, True):
+        found = asof.as_of(left, right, "at", (), ("v",), forward=forward, tie=F.col("v"))
+        want = []
+        for k in keys:
+            near = [(x, i) for i, x in enumerate(at) if None not in (x, k) and (x >= k if forward else x <= k)]
+            want.append((k, (min(near) if forward else max(near))[1] if near else None))
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "currentrow$(), unboundedfollowing$()" not in plan  # a frame that is gone through again for each row
+        assert "_range" in plan and "Window" in plan
+
+
 def test_fasta_chunks(spark):
     faidx = spark.createDataFrame([("a", 0, 4), ("b", 30, 36)], "contig string, offset_head long, offset_base long")
     got = [tuple(r) for r in partition.fasta_chunks(faidx, 60, 4).orderBy("chunk_id").collect()]
