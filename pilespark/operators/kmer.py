@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
 
+#: Seeds and bases that may be broadcast, some 10 MB. Spark's own estimate does not see how long made texts are.
+BROADCAST_SEEDS, BROADCAST_BASES = 100_000, 4 << 20
+
+
+def counted(df: DataFrame, n: int, most: int) -> DataFrame:
+    """df, of n units, marked for broadcast up to `most` of them and for a join by shuffle and sort beyond."""
+    return F.broadcast(df) if n <= most else df.hint("merge")
+
 
 def kmers(text: Column, k: int, step: int = 1) -> Column:
     """array<struct<at, kmer>>: substrings of k characters from every `step`-th 0-based place, in UTF-32.
@@ -36,15 +44,20 @@ def reference_windows(contigs: DataFrame, width: int, overlap: int) -> DataFrame
 
 
 def kmer_index(contigs: DataFrame, k: int = 16, width: int = 65_536) -> DataFrame:
-    """kmer, contig, pos (0-based) of every k-mer of contigs(contig, seq)."""
-    windows = reference_windows(contigs, width, k - 1)
+    """kmer, contig, pos (0-based) of every k-mer of contigs(contig, seq).
+
+    Windows are dealt out first: a few bytes of input, or one long contig, may be long work.
+    """
+    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = reference_windows(contigs, width, k - 1).repartition(n, "contig", "first")
     return windows.select("contig", "first", F.explode(kmers(F.col("bases"), k)).alias("x")).select(F.decode("x.kmer", "UTF-32").alias("kmer"), "contig", (F.col("first") + F.col("x.at")).alias("pos"))
 
 
 def seed_hits(reads: DataFrame, index: DataFrame, k: int = 16, step: int = 8) -> DataFrame:
     """read_id, contig, diagonal: places where some seed of a read(read_id, seq) puts its first base."""
+    n = reads.agg(F.sum(F.greatest(F.lit(0), F.floor((F.length("seq") - k) / step) + 1))).first()[0] or 0
     seeds = reads.select("read_id", F.explode(kmers(upper_ascii("seq"), k, step)).alias("x")).select("read_id", F.decode("x.kmer", "UTF-32").alias("kmer"), F.col("x.at").alias("at"))
-    return seeds.join(index, "kmer").select("read_id", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    return counted(seeds, n, BROADCAST_SEEDS).join(index, "kmer").select("read_id", "contig", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -65,16 +78,18 @@ def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step
 
     A read has a record for each value of the contigs' columns `by` among its alignments, all found in one pass. Both strands are tried. Candidate places are checked against windows of the reference, joined by contig and window;
     alignments of up to `most` mismatches are listed by stratum, contig, place and strand. A read without any has the
-    summary `0:..:0` and alignments `-`, and nulls in `by`.
+    summary `0:..:0` and alignments `-`, and nulls in `by`. Reads and contigs are counted before any is broadcast.
     """
     contigs = contigs.select(F.struct("contig", *by).alias("contig"), "seq")
     upper = F.upper("seq")
     both = reads.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), upper.alias("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(upper).alias("seq")))).alias("s")).select("read_id", "s.strand", "s.seq")
     keyed = both.withColumn("read_id", F.struct("read_id", "strand"))
     hits = seed_hits(keyed, kmer_index(contigs, k, width), k, step).where("diagonal >= 0")
-    longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
+    n_reads, longest = reads.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
+    bases = contigs.agg(F.sum(F.length("seq"))).first()[0] or 0
     windows = reference_windows(contigs, width, longest).withColumn("window", F.col("first") / width)
-    placed = hits.withColumn("window", F.floor(F.col("diagonal") / width).cast("double")).join(windows, ["contig", "window"]).join(keyed.select("read_id", "seq"), "read_id")
+    placed = hits.withColumn("window", F.floor(F.col("diagonal") / width).cast("double")).join(counted(windows, bases, BROADCAST_BASES), ["contig", "window"])
+    placed = placed.join(counted(keyed.select("read_id", "seq"), 2 * n_reads * max(longest, 64), BROADCAST_BASES), "read_id")
     reference = F.substr("bases", (F.col("diagonal") - F.col("first") + 1).cast("int"), F.length("seq"))
     cut = placed.select(F.col("read_id.read_id").alias("read_id"), F.col("read_id.strand").alias("strand"), "contig", "diagonal", "seq", reference.alias("reference")).where(F.length("reference") == F.length("seq"))
     found = cut.withColumn("errors", mismatches(F.col("seq"), F.col("reference"))).where(F.col("errors") <= most)
@@ -85,4 +100,5 @@ def align(reads: DataFrame, contigs: DataFrame, k: int = 16, most: int = 3, step
     listed = found.groupBy("read_id", *(F.col("contig").getField(c).alias(c) for c in by)).agg(F.array_sort(F.collect_list(F.struct("errors", "contig.contig", "diagonal", "strand", text.alias("text")))).alias("a"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: F.size(F.filter("a", lambda x: x["errors"] == e)).cast("string"))
     summed = listed.select("read_id", *by, F.array_join(counts, ":").alias("summary"), F.array_join(F.transform("a", lambda x: x["text"]), ",").alias("alignments"))
+    summed = counted(summed, n_reads, BROADCAST_SEEDS // 10)
     return reads.join(summed, "read_id", "left").select("read_id", "name", "seq", "qual", F.coalesce("summary", F.lit(":".join("0" * (most + 1)))).alias("summary"), F.coalesce("alignments", F.lit("-")).alias("alignments"), *by)

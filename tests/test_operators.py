@@ -178,6 +178,19 @@ def test_fasta_chunks(spark):
     assert got == [(0, "a", 0, 4, 14, 0), (1, "a", 0, 15, 29, 11), (2, "b", 30, 36, 44, 0), (3, "b", 30, 45, 59, 9)]
 
 
+def test_aligner_broadcasts_only_what_is_counted_small(spark, monkeypatch):
+    made = spark.range(40).select(F.col("id").alias("read_id"), F.concat_ws("", *(F.translate(F.md5(F.concat(F.lit(str(k)), F.col("id").cast("string"))), "0123456789abcdef", "ACGT" * 4) for k in range(3))).alias("seq"))
+    reads = made.select("read_id", F.lit("r").alias("name"), F.substring("seq", 9, 64).alias("seq"), F.lit("I" * 64).alias("qual"))
+    contigs = made.select(F.col("read_id").cast("string").alias("contig"), "seq")
+    few = kmer.align(reads, contigs)
+    monkeypatch.setattr(kmer, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(kmer, "BROADCAST_BASES", 0)
+    many = kmer.align(reads, contigs)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, many.select("read_id", "summary", "alignments").collect()))
+    assert got == [(i, "1:0:0:0", f"{i}:+:9:64") for i in range(40)] == sorted(map(tuple, few.select("read_id", "summary", "alignments").collect()))
+
+
 def test_aligner_finds_places(spark):
     rng = random.Random(4)
     genome = "".join(rng.choice("ACGT") for _ in range(3000))
