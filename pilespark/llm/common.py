@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
+#: Whether a finished write's shuffle files go at once; else they stay until the driver's JVM happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Edges up to which a round of components() broadcasts nodes with their least neighbour (two longs, 8 MB).
 BROADCAST_EDGES = 500_000
 
@@ -47,24 +50,29 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables in the shared folder that cut lineage, so a lost executor costs a reread and no recomputation.
 
-    drop() removes a table once nothing reads it any more; what a returned frame still reads stays until the
-    caller clears the shared folder.
+    drop() removes a table once nothing reads it any more, only() all but those named; what a returned frame still reads
+    stays until the caller clears the shared folder. A table's shuffle files go when it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/pilespark-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back."""
         self.n += 1
         path = f"{self.base}/{self.n}"
         # zstd, for the default codec leaves buffers outside the heap with each small file that is read
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
+        self.paths.add(path)
         kept._scratch_path = path
         return kept
 
@@ -72,9 +80,18 @@ class Scratch:
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                self._remove(path)
+
+    def only(self, *frames: DataFrame) -> None:
+        """Remove all tables kept here but these."""
+        for path in self.paths - {f._scratch_path for f in frames}:
+            self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.discard(path)
 
 
 def small(df: DataFrame, rows: int, array: str | None = None) -> DataFrame:

@@ -234,15 +234,18 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
     # half a name is enough to propose pairs; equal lines are told by both halves
     edges = scratch.keep(similar_lines(lines.select(F.col("h1").alias("id"), "bands"), texts, threshold, scratch))
+    scratch.only(lines, edges)
     roots = components(spark, edges, scratch).select(F.col("node").alias("h1"), "root")
     touched = lines.select("h1", "h2", "n").join(roots, "h1", "left").where("root is not null or n > 1")
     touched = scratch.keep(touched.select("h1", "h2", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2")))
+    scratch.only(touched)
     places = scratch.keep(occurrences(named, "doc", "salt", "at").drop("line").join(small(touched, BROADCAST_ROWS), ["h1", "h2"]).select("doc", "salt", "at", "c1", "c2"))
     first = places.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "salt", "at")).alias("x"))
     stay = scratch.keep(first.select(F.col("x.doc").alias("d"), F.col("x.salt").alias("s"), F.col("x.at").alias("a")))
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
     gone = places.join(small(stay, BROADCAST_ROWS), same & (F.col("at") == F.col("a")), "left_anti")
     removed = scratch.keep(gone.groupBy(F.col("doc").alias("d"), F.col("salt").alias("s")).agg(F.collect_set("at").alias("gone")))
+    scratch.only(removed)
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("salt"))
     joined = marked.join(small(removed, 2 * BROADCAST_ROWS, "gone"), same, "left")
     text = F.col("row").getField(text_col)

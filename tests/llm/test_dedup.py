@@ -2,11 +2,12 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from pilespark.llm import line_dedup, ngram_join, suffix_dedup
+from pilespark.llm import common, line_dedup, ngram_join, suffix_dedup
 
 DOCS = "doc_id long, text string, source string, n_removed long"
 
@@ -253,6 +254,15 @@ def test_deep_shallow_sorts(spark):
         assert shared[k] == n
 
 
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    files = lambda: {str(f) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*")}
+    before, scratch = files(), common.Scratch(spark, "test")
+    a, b = (scratch.keep(spark.range(1000).groupBy((F.col("id") % k).alias("id")).count()) for k in (7, 9))
+    assert not files() - before and (a.count(), b.count()) == (7, 9)
+    scratch.only(b)
+    assert not Path(a._scratch_path).exists() and b.count() == 9
+
+
 def test_components(spark):
     from pilespark.llm.common import Scratch, components
 
