@@ -86,8 +86,17 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def halves(tokens: np.ndarray) -> np.ndarray:
+    """The distinct lower halves of hashes: half the bytes, and enough to propose pairs by.
+
+    A set of n hashes with m halves has lost n - m of them. Of two sets' common hashes no more than the smaller of both
+    losses is missing among their common halves, so with that added no pair is counted too low.
+    """
+    return np.unique(tokens.astype(np.uint32))
+
+
 def proposed(size: np.ndarray, sketches: np.ndarray, whole: list[bytes], threshold: float) -> np.ndarray:
-    """Which texts of a bucket may be alike: by their sketches, and sets of up to WHOLE shingles exactly."""
+    """Which texts of a bucket may be alike: by their sketches, and sets of up to WHOLE shingles by their halves."""
     close = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - EXACT
     few = size <= WHOLE
     linked = np.empty(close.shape, bool)
@@ -97,8 +106,9 @@ def proposed(size: np.ndarray, sketches: np.ndarray, whole: list[bytes], thresho
     open_ = close & ~linked & few[:, None] & few
     if open_.any():
         at = np.flatnonzero(open_.any(axis=0))
-        sets = [np.frombuffer(whole[i], np.uint64) for i in at]
-        common, n = common_tokens(sets), np.array([len(x) for x in sets])
+        sets, n = [np.frombuffer(whole[i], np.uint32) for i in at], size[at]
+        lost = n - np.array([len(x) for x in sets])
+        common = common_tokens(sets) + np.minimum(lost[:, None], lost)
         linked[np.ix_(at, at)] |= (common >= threshold * (n[:, None] + n - common) - EXACT) & open_[np.ix_(at, at)]
     return linked
 
@@ -135,7 +145,7 @@ def scan(docs: DataFrame, threshold: float, n: int, with_paths: bool) -> DataFra
                     continue
                 if with_paths:
                     key = np.array([len(tokens), np.add.reduce(tokens), np.add.reduce(mix(tokens)), np.bitwise_xor.reduce(mix(tokens + np.uint64(7)))], np.uint64).tobytes()
-                    rows.append((i, key, len(tokens), sketch(tokens), tokens.tobytes() if len(tokens) <= WHOLE else b"", chosen(tokens, threshold)))
+                    rows.append((i, key, len(tokens), sketch(tokens), halves(tokens).tobytes() if len(tokens) <= WHOLE else b"", chosen(tokens, threshold)))
                 else:
                     rows.append((i, tokens.view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -193,9 +203,10 @@ def candidate_edges(reps: DataFrame, threshold: float, scratch: Scratch) -> Data
             near = (alike(s, lead) >= threshold - SLACK) & ~far if n else np.empty(0, bool)
             size, lead_size = (batch.column(k).to_numpy() for k in ("size", "lead_size"))
             for i in np.flatnonzero(~near & ~far & (size <= WHOLE) & (lead_size <= WHOLE)).tolist():
-                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in ("whole", "lead_whole"))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                near[i] = common >= threshold * (len(x) + len(y) - common) - EXACT
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint32) for k in ("whole", "lead_whole"))
+                n, m = int(size[i]), int(lead_size[i])
+                common = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+                near[i] = common >= threshold * (n + m - common) - EXACT
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "run", "id", "lead")), pa.array(near, pa.bool_())], names=["path", "run", "id", "lead", "near"])
 
     def compared(buckets: DataFrame) -> DataFrame:
@@ -291,19 +302,23 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     facts = scratch.keep(scan(texts, threshold, n, True))
     classes = facts.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("paths").alias("paths"))
     reps = scratch.keep(classes)
+    names, weights = scratch.keep(facts.select("id", "key")), scratch.keep(reps.select("key", "id", "weight"))
+    scratch.drop(facts)
     edges = candidate_edges(reps, threshold, scratch)
     comps = scratch.keep(components(spark, edges, scratch))
+    scratch.only(names, weights, comps)
     sizes = comps.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
     members = scratch.keep(comps.select(F.col("node").alias("id"), F.col("root").alias("comp")).join(sizes, "comp"))
-    wanted = members.join(reps.groupBy("id").agg(F.sum("weight").alias("weight")), "id")
+    wanted = members.join(weights.groupBy("id").agg(F.sum("weight").alias("weight")), "id")
     count = members.count()
     picked = texts.join(F.broadcast(members.select("id")) if count <= BROADCAST_IDS else members.select("id"), "id", "left_semi")
     sets = scan(picked, threshold, n, False)
     first = sets.groupBy("id").agg(F.min("tokens").alias("tokens"))
     links = scratch.keep(exact_links(wanted.join(first, "id"), threshold))
     roots = components(spark, links.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    linked = links.groupBy("id").agg(F.sum("links").alias("links")).join(roots.select(F.col("node").alias("id"), "root"), "id")
-    named = reps.select("key", F.col("id").alias("rep"), "weight").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-    found = facts.select("id", "key").join(named, "key").select("id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    rest = texts.select("id").join(facts.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    linked = scratch.keep(links.groupBy("id").agg(F.sum("links").alias("links")).join(roots.select(F.col("node").alias("id"), "root"), "id"))
+    scratch.only(names, weights, linked)
+    named = weights.select("key", F.col("id").alias("rep"), "weight").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
+    found = names.join(named, "key").select("id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    rest = texts.select("id").join(names.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.union(rest).groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").cast("long").alias("n_links"))

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,16 @@ def test_deep_shallow_sorts(spark):
         assert shared[k] == n
 
 
+def test_halves_of_hashes_lose_no_pair():
+    # 8 of 10 hashes are common, but two of the common ones share their lower half
+    one, other = np.arange(10, dtype=np.uint64), np.concatenate([np.arange(8), [100, 101]]).astype(np.uint64)
+    one[0] = other[0] = 1 + 2**40
+    sets, far = [one, other], np.ones((2, ngram_join.SKETCH), np.uint8) * np.array([[1], [2]], np.uint8)
+    whole = [ngram_join.halves(x).tobytes() for x in sets]
+    assert [len(x) for x in whole] == [36, 36]
+    assert ngram_join.proposed(np.array([10.0, 10.0]), far, whole, 8 / 12).all()
+
+
 def test_a_kept_table_leaves_no_shuffle_files(spark):
     files = lambda: {str(f) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*")}
     before, scratch = files(), common.Scratch(spark, "test")
