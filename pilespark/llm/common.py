@@ -19,6 +19,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges up to which a round of components() broadcasts nodes with their least neighbour (two longs, 8 MB).
 BROADCAST_EDGES = 500_000
 
+#: Rows of a few longs (2 to 4 MB) that one task writes, where a table's rows are bounded beforehand.
+FILE_ROWS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder."""
@@ -60,8 +63,15 @@ class Scratch:
         self.n = 0
         self.paths: set[str] = set()
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
+    def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        """Write df and read it back; `most` tells that it has no more rows than that, of a few longs and little work each.
+
+        Then no more files are written than these rows fill, whether or not adaptive execution puts partitions together. A
+        file costs a request in a store, and on a local disk without Hadoop's native code child processes that set its
+        permissions, each of which looks as large as its executor until it has begun.
+        """
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FILE_ROWS)))
         self.n += 1
         path = f"{self.base}/{self.n}"
         # zstd, for the default codec leaves buffers outside the heap with each small file that is read
@@ -103,16 +113,17 @@ def small(df: DataFrame, rows: int, array: str | None = None) -> DataFrame:
     return F.broadcast(df) if n <= rows else df
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(node, root): each node of the undirected edges (a, b) with the smallest node of its component.
 
     Alternates the large-star and small-star steps of distributed union-find until no edge changes. Edges are kept with
     the greater node first; minima are aggregated before the shuffle, written, and joined back as a table, so that both
     sides of the join come straight from a shuffle and adaptive execution can split what a node with many neighbours
-    brings. Loops and repeated edges do no harm; a node that only has a loop is its own root.
+    brings. Loops and repeated edges do no harm; a node that only has a loop is its own root. `most` bounds the edges' number
+    if that is known; a round never makes more of them.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most)
     before = None
     n_edges = now.count()
     while True:
@@ -134,7 +145,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         # small-star: every neighbour below a node, and the node, move to the least of them
         low = held(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(back(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.keep(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        after = scratch.keep(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), n_edges)
         state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(now, *made)
         now, n_edges = after, state[0]

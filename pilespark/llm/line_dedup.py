@@ -107,17 +107,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return filled.select("h1", "h2", "n", bands.alias("bands"))
 
 
-def starred(pairs: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) that connect the like ones of pairs(id, pivot), each compared exactly; held(id, line) has their lines.
+def starred(pairs: DataFrame, held: DataFrame, threshold: float, scratch: Scratch, most: int) -> DataFrame:
+    """Edges (a, b) that connect the like ones of pairs(id, pivot), `most` at most, each compared exactly; held(id, line)
+    has their lines.
 
     A pivot's line is copied once for each SHARE lines that are held against it, and each share hangs on its pivot by one
     line, so that neither a task nor a node of the edges has to do with all lines of a pivot.
     """
     pairs = pairs.select("pivot", "id").distinct()
-    counted = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    counted = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")), most)
     lead = counted.join(held.withColumnRenamed("id", "pivot").withColumnRenamed("line", "other"), "pivot")
     lead = scratch.keep(lead.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other"))
-    many = scratch.keep(counted.where("shares > 1"))
+    many = scratch.keep(counted.where("shares > 1"), most)
     dealt = pairs.join(small(many, BROADCAST_ROWS), "pivot", "left").join(held, "id")
     dealt = dealt.select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "id", "line")
     # few bytes may be long work: a fixed number of partitions is not coalesced, and a pivot's set is made once a share
@@ -142,40 +143,41 @@ def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -
     """
     spark = lines.sparkSession
     banded = lines.select("id", F.explode("bands").alias("key"))
-    n = partitions(spark)
+    n, n_lines = partitions(spark), lines.count()
     # most keys belong to one line
-    keys = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot"))
-    met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").distinct())
-    held = scratch.keep(texts(scratch.keep(met.select("id").distinct())))
-    edges = scratch.keep(starred(met.where("id <> pivot"), held, threshold, scratch))
+    keys = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot"), BANDS * n_lines // 2)
+    met = scratch.keep(banded.join(small(keys, BROADCAST_ROWS), "key").distinct(), BANDS * n_lines)
+    n_met = met.count()
+    held = scratch.keep(texts(scratch.keep(met.select("id").distinct(), min(n_lines, n_met))))
+    edges = scratch.keep(starred(met.where("id <> pivot"), held, threshold, scratch, n_met), n_met)
 
     def mixed(met: DataFrame, edges: DataFrame) -> DataFrame:
         """met(key, id, pivot) with root and home (the pivot's root), of the buckets that lie in several components."""
-        roots = scratch.keep(components(spark, edges, scratch).select(F.col("node").alias("id"), "root"))
-        rooted = scratch.keep(met.join(small(roots, BROADCAST_ROWS), "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root")))
+        roots = scratch.keep(components(spark, edges, scratch, 2 * n_met).select(F.col("node").alias("id"), "root"), min(n_lines, n_met))
+        rooted = scratch.keep(met.join(small(roots, BROADCAST_ROWS), "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root")), n_met)
         several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("last"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("root"))).alias("home")).where("least <> last").select("key", "home")
-        return scratch.keep(rooted.join(small(scratch.keep(several), BROADCAST_ROWS), "key"))
+        return scratch.keep(rooted.join(small(scratch.keep(several, n_met), BROADCAST_ROWS), "key"), n_met)
 
     rest = mixed(met, edges)
     if rest.isEmpty():
         return edges
     second = rest.groupBy("key").agg(F.min(F.when(F.col("root") != F.col("home"), F.struct("id", "root"))).alias("x")).select("key", F.col("x.id").alias("second"), F.col("x.root").alias("its"))
-    rest = scratch.keep(rest.where("id <> pivot").join(scratch.keep(second), "key").where("id <> second").select("key", "id", "second", "its", "root"))
-    edges = scratch.keep(edges.union(starred(rest.where("root <> its").select("id", F.col("second").alias("pivot")), held, threshold, scratch)))
+    rest = scratch.keep(rest.where("id <> pivot").join(scratch.keep(second, n_met), "key").where("id <> second").select("key", "id", "second", "its", "root"), n_met)
+    edges = scratch.keep(edges.union(starred(rest.where("root <> its").select("id", F.col("second").alias("pivot")), held, threshold, scratch, n_met)), 2 * n_met)
     # the lines that neither pivot stands for; the least of them takes the pivot's place
-    least = scratch.keep(rest.groupBy("key").agg(F.min("id").alias("pivot")))
+    least = scratch.keep(rest.groupBy("key").agg(F.min("id").alias("pivot")), n_met)
     rest = mixed(rest.select("key", "id").join(least, "key"), edges)
     if rest.isEmpty():
         return edges
     # which band a key is of, and the bands of its lines, to compare a pair in one bucket only
-    ids = scratch.keep(rest.select("id").distinct())
+    ids = scratch.keep(rest.select("id").distinct(), n_met)
     bands = lines.join(small(ids, BROADCAST_ROWS), "id", "left_semi")
     facts = scratch.keep(bitmaps(held.join(small(ids, BROADCAST_ROWS), "id", "left_semi")).join(bands, "id").join(held.select("id", F.length("line").alias("chars")), "id"))
     rest = rest.join(facts.select("id", "chars", "bands"), "id").select("key", "id", "root", "chars", (F.col("root") != F.col("home")).alias("open"), F.array_position("bands", F.col("key")).alias("band"))
     sizes = rest.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids"))
     # of the buckets with the same lines, as several bands give, the one of the first band is enough
     sizes = sizes.groupBy("n", "chars", "ids").agg(F.min(F.struct("band", "key")).alias("x")).select("x.key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    rest = scratch.keep(rest.drop("chars").join(scratch.keep(sizes), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
+    rest = scratch.keep(rest.drop("chars").join(scratch.keep(sizes, n_met), "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")), n_met)
     # an open line's block meets every block
     group = lambda i, j: F.xxhash64("key", i, j).alias("group")
     blocks = rest.where("open").select("key", F.col("mine").alias("asker")).distinct()
@@ -235,13 +237,14 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     # half a name is enough to propose pairs; equal lines are told by both halves
     edges = scratch.keep(similar_lines(lines.select(F.col("h1").alias("id"), "bands"), texts, threshold, scratch))
     scratch.only(lines, edges)
-    roots = components(spark, edges, scratch).select(F.col("node").alias("h1"), "root")
+    n_lines = lines.count()
+    roots = components(spark, edges, scratch, edges.count()).select(F.col("node").alias("h1"), "root")
     touched = lines.select("h1", "h2", "n").join(roots, "h1", "left").where("root is not null or n > 1")
-    touched = scratch.keep(touched.select("h1", "h2", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2")))
+    touched = scratch.keep(touched.select("h1", "h2", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).alias("c2")), n_lines)
     scratch.only(touched)
     places = scratch.keep(occurrences(named, "doc", "salt", "at").drop("line").join(small(touched, BROADCAST_ROWS), ["h1", "h2"]).select("doc", "salt", "at", "c1", "c2"))
     first = places.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "salt", "at")).alias("x"))
-    stay = scratch.keep(first.select(F.col("x.doc").alias("d"), F.col("x.salt").alias("s"), F.col("x.at").alias("a")))
+    stay = scratch.keep(first.select(F.col("x.doc").alias("d"), F.col("x.salt").alias("s"), F.col("x.at").alias("a")), n_lines)
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("salt") == F.col("s"))
     gone = places.join(small(stay, BROADCAST_ROWS), same & (F.col("at") == F.col("a")), "left_anti")
     removed = scratch.keep(gone.groupBy(F.col("doc").alias("d"), F.col("salt").alias("s")).agg(F.collect_set("at").alias("gone")))

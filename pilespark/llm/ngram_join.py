@@ -302,10 +302,11 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     facts = scratch.keep(scan(texts, threshold, n, True))
     classes = facts.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("paths").alias("paths"))
     reps = scratch.keep(classes)
-    names, weights = scratch.keep(facts.select("id", "key")), scratch.keep(reps.select("key", "id", "weight"))
+    n_texts = facts.count()
+    names, weights = scratch.keep(facts.select("id", "key"), n_texts), scratch.keep(reps.select("key", "id", "weight"), n_texts)
     scratch.drop(facts)
     edges = candidate_edges(reps, threshold, scratch)
-    comps = scratch.keep(components(spark, edges, scratch))
+    comps = scratch.keep(components(spark, edges, scratch), n_texts)
     scratch.only(names, weights, comps)
     sizes = comps.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
     members = scratch.keep(comps.select(F.col("node").alias("id"), F.col("root").alias("comp")).join(sizes, "comp"))
@@ -316,7 +317,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str
     first = sets.groupBy("id").agg(F.min("tokens").alias("tokens"))
     links = scratch.keep(exact_links(wanted.join(first, "id"), threshold))
     roots = components(spark, links.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    linked = scratch.keep(links.groupBy("id").agg(F.sum("links").alias("links")).join(roots.select(F.col("node").alias("id"), "root"), "id"))
+    linked = scratch.keep(links.groupBy("id").agg(F.sum("links").alias("links")).join(roots.select(F.col("node").alias("id"), "root"), "id"), n_texts)
     scratch.only(names, weights, linked)
     named = weights.select("key", F.col("id").alias("rep"), "weight").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
     found = names.join(named, "key").select("id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

@@ -293,3 +293,26 @@ def test_word_hashes_tell_words_apart():
     found = hashes(np.frombuffer(" ".join(sorted(text)).encode(), np.uint8))
     assert len(found) == len(set(found.tolist())) == len(text)
     assert hashes(np.frombuffer(b"  one\ttwo\none ", np.uint8)).tolist() == [*hashes(np.frombuffer(b"one two one", np.uint8)).tolist()]
+
+
+def test_tables_of_few_rows_are_few_files(spark, monkeypatch, tmp_path):
+    """Whether or not adaptive execution puts partitions together."""
+    monkeypatch.setattr(common, "scratch_root", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common.Scratch, "_remove", lambda self, path: None)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    lines = [" ".join(f"w{(7 * k + j) ** 3 % 101}" for j in range(12)) + end for k in range(40) for end in ("", ".")]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = common.Scratch(spark, "few").keep(spark.range(300).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 10).alias("b")), 300)
+        roots = common.components(spark, edges, common.Scratch(spark, "few"), 300).collect()
+        found = line_dedup.line_dedup(spark.createDataFrame([(i, x, "s", 0) for i, x in enumerate(lines)], DOCS)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["node"], r["root"]) for r in roots) == [(i, i - i % 10) for i in range(300)]
+    assert sum(r["n_removed"] for r in found) >= 40
+    count = lambda name: [len(list(t.glob("part-*"))) for d in tmp_path.glob(f"pilespark-{name}-*") for t in d.iterdir()]
+    assert max(count("few")) == 1
+    assert len(count("lines")) > 15 and sum(n > 4 for n in count("lines")) <= 5  # those with texts, signatures and comparisons
