@@ -44,8 +44,12 @@ def shingle(codes: Column, at: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The distinct hashes of all SHINGLE-character substrings of a line."""
-    return let(code_points(line), lambda b: F.array_distinct(F.transform(starts(b), lambda i: shingle(b, i))))
+    """The distinct hashes of all SHINGLE-character substrings of a line.
+
+    The lambda does no more than hash at places in bytes, and array_distinct stands outside it, so that it is generated code.
+    """
+    places = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - (4 * SHINGLE - 1)), F.lit(4))
+    return F.array_distinct(let(code_points(line), lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE))))))
 
 
 def alike(a: Column, b: Column, threshold: float) -> Column:
@@ -95,11 +99,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
     n = F.greatest(F.lit(1.0), F.length("codes") / 4 - (SHINGLE - 1))
     bound = (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), SOUGHT / n)).cast("long")  # of signed hashes
-    lines = occurrences(docs).select("h1", "h2", code_points(F.col("line")).alias("codes"))
-    rows = lines.select("h1", "h2", "codes", bound.alias("bound"), F.explode(starts(F.col("codes"))).alias("at"))
+    # the bound is a line's, computed before its rows are made: beside explode() it would be computed for each of them
+    lines = occurrences(docs).select("h1", "h2", code_points(F.col("line")).alias("codes")).select("h1", "h2", "codes", bound.alias("bound"))
+    rows = lines.select("h1", "h2", "codes", "bound", F.explode(starts(F.col("codes"))).alias("at"))
     rows = rows.select("h1", "h2", "bound", "at", shingle(F.col("codes"), F.col("at")).alias("h")).where("h <= bound or at = 0")
-    least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
-    lines = rows.groupBy("h1", "h2").agg(F.count(F.when(F.col("at") == 0, 1)).alias("n"), *least)
+    # a greatest value for the other bins' rows, not null, spares the loop a branch for each bin
+    none = F.lit(2**63 - 1).cast("long")
+    least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == j, F.col("h")).otherwise(none)).alias(f"m{j}") for j in range(BINS)]
+    lines = rows.groupBy("h1", "h2").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n"), *least)
+    lines = lines.select("h1", "h2", "n", *(F.nullif(F.col(f"m{j}"), none).alias(f"m{j}") for j in range(BINS)))
     any_ = F.coalesce(*(F.col(f"m{j}") for j in range(BINS))).alias("any")
     lend = lambda j: F.coalesce(F.col(f"m{j}"), *(F.col(f"m{(j + (j % 5 + 1) * (2 * t + 1) + t * t) % BINS}") for t in range(TRIES)), F.col("any"))
     filled = lines.select("h1", "h2", "n", *(f"m{j}" for j in range(BINS)), any_).select("h1", "h2", "n", *(lend(j).alias(f"f{j}") for j in range(BINS)))

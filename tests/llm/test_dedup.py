@@ -316,3 +316,10 @@ def test_tables_of_few_rows_are_few_files(spark, monkeypatch, tmp_path):
     count = lambda name: [len(list(t.glob("part-*"))) for d in tmp_path.glob(f"pilespark-{name}-*") for t in d.iterdir()]
     assert max(count("few")) == 1
     assert len(count("lines")) > 15 and sum(n > 4 for n in count("lines")) <= 5  # those with texts, signatures and comparisons
+
+
+def test_signatures_compute_a_lines_bound_once(spark):
+    """Not for each of its substrings, as it was beside explode()."""
+    plan = line_dedup.signatures(spark.createDataFrame([(1, "a line", "s", 0)], DOCS))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x and "xxhash64(substring" in x]
+    assert len(filters) == 1 and "bound" in filters[0] and "least(" not in filters[0]
