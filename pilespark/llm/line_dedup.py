@@ -65,8 +65,9 @@ def bitmaps(held: DataFrame) -> DataFrame:
     """(id, width, w0, w1, ...) of held(id, line): the number of its shingles, repeats included, and a bit for each one's hash."""
     codes = held.select("id", code_points(F.col("line")).alias("codes"))
     rows = codes.select("id", F.explode(starts(F.col("codes"))).alias("at"), "codes").select("id", F.pmod(shingle(F.col("codes"), F.col("at")), F.lit(64 * WORDS)).cast("int").alias("bit"))
-    one = F.expr("shiftleft(1L, bit % 64)")
-    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == j, one)), F.lit(0)).alias(f"w{j}") for j in range(WORDS)]
+    rows = rows.select("id", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("one"))
+    # FILTER, not CASE: a row changes one word of the buffer and writes none of the others
+    words = [F.coalesce(F.expr(f"bit_or(one) FILTER (WHERE word = {j})"), F.lit(0)).alias(f"w{j}") for j in range(WORDS)]
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("width"), *words)
 
 
@@ -84,9 +85,14 @@ def may_be_alike(a: dict[str, Column], b: dict[str, Column], threshold: float) -
     return s * (1_000_000 - t) >= d.cast("long") * (1_000_000 + t)
 
 
+def blank(line: Column) -> Column:
+    """Whether a line has white space only, as \\s has it; this looks no further than its first other character, and not by a pattern."""
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def occurrences(docs: DataFrame, *columns: str) -> DataFrame:
     """columns, line, h1 and h2 of all lines of docs(text, ...) that are not blank; h1 and h2 name a line."""
-    lines = docs.select(*(c for c in columns if c != "at"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"\S"))
+    lines = docs.select(*(c for c in columns if c != "at"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(~blank(F.col("line")))
     return lines.select(*columns, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -103,11 +109,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     lines = occurrences(docs).select("h1", "h2", code_points(F.col("line")).alias("codes")).select("h1", "h2", "codes", bound.alias("bound"))
     rows = lines.select("h1", "h2", "codes", "bound", F.explode(starts(F.col("codes"))).alias("at"))
     rows = rows.select("h1", "h2", "bound", "at", shingle(F.col("codes"), F.col("at")).alias("h")).where("h <= bound or at = 0")
-    # a greatest value for the other bins' rows, not null, spares the loop a branch for each bin
-    none = F.lit(2**63 - 1).cast("long")
-    least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == j, F.col("h")).otherwise(none)).alias(f"m{j}") for j in range(BINS)]
-    lines = rows.groupBy("h1", "h2").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n"), *least)
-    lines = lines.select("h1", "h2", "n", *(F.nullif(F.col(f"m{j}"), none).alias(f"m{j}") for j in range(BINS)))
+    # FILTER, not CASE: a row changes one bin of the buffer and writes none of the others
+    rows = rows.select("h1", "h2", "at", "h", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
+    least = [F.expr(f"min(h) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(BINS)]
+    lines = rows.groupBy("h1", "h2").agg(F.expr("count(1) FILTER (WHERE at = 0)").alias("n"), *least)
     any_ = F.coalesce(*(F.col(f"m{j}") for j in range(BINS))).alias("any")
     lend = lambda j: F.coalesce(F.col(f"m{j}"), *(F.col(f"m{(j + (j % 5 + 1) * (2 * t + 1) + t * t) % BINS}") for t in range(TRIES)), F.col("any"))
     filled = lines.select("h1", "h2", "n", *(f"m{j}" for j in range(BINS)), any_).select("h1", "h2", "n", *(lend(j).alias(f"f{j}") for j in range(BINS)))
@@ -191,16 +196,18 @@ def similar_lines(lines: DataFrame, texts, threshold: float, scratch: Scratch) -
     blocks = rest.where("open").select("key", F.col("mine").alias("asker")).distinct()
     asked = rest.join(blocks, "key").select(group("asker", "mine"), "id", "root", "open")
     asking = rest.where("open").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group("mine", "other"), "id", "root", "band")
-    told = facts.drop("chars").join(held, "id")
-    return edges.union(compared(asking.join(told, "id"), asked.join(told, "id"), threshold, n))
+    told = facts.drop("chars")
+    return edges.union(compared(asking.join(told, "id"), asked.join(told, "id"), held, threshold, scratch, n))
 
 
-def compared(asking: DataFrame, asked: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Edges (a, b) between lines of two roots of asking and asked(group, id, root, line, bands, width, w0, ...) in a group.
+def compared(asking: DataFrame, asked: DataFrame, held: DataFrame, threshold: float, scratch: Scratch, n: int) -> DataFrame:
+    """Edges (a, b) between lines of two roots of asking and asked(group, id, root, bands, width, w0, ...) in a group;
+    held(id, line) has their lines.
 
     asking also has band, the place in bands of the bucket, and asked has open. The cheap conditions come first: that the
-    bucket is the first they share, then their bitmaps. Columns that are known not to be null keep the condition short
-    enough for the JVM to compile.
+    bucket is the first they share, then their bitmaps. Sets are made only of lines that these leave something to be
+    compared with, on either side; the pairs themselves are not written. Columns that are known not to be null keep the
+    condition short enough for the JVM to compile.
     """
     numbers = ["width", *(f"w{j}" for j in range(WORDS))]
 
@@ -208,15 +215,21 @@ def compared(asking: DataFrame, asked: DataFrame, threshold: float, n: int) -> D
         known = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("id", "root", *numbers)]
         keys = [F.coalesce(F.get("bands", F.lit(i)), F.lit(0).cast("long")).alias(f"k{i}") for i in range(BANDS - 1)]
         more = [F.coalesce(c, d).alias(c) for c, d in (("band", F.lit(0).cast("long")), ("open", F.lit(True))) if c in df.columns]
-        return df.repartition(n, "group").select("group", *known, *keys, *more, shingles(F.col("line")).alias("set"))
+        return df.select("group", *known, *keys, *more).repartition(n, "group")
+
+    def sets(df: DataFrame) -> DataFrame:
+        return df.join(held, "id").repartition(n, "group").select(*df.columns, shingles(F.col("line")).alias("set"))
 
-    left, right = side(asking).alias("l"), side(asked).alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))  # noqa: E741
     wanted = (l("group") == r("group")) & (l("root") != r("root")) & (~r("open") | (l("id") < r("id")))
     for i in range(BANDS - 1):
         wanted = wanted & ((l("band") <= i + 1) | (l(f"k{i}") != r(f"k{i}")))
     a, b = ({c: x(c) for c in numbers} for x in (l, r))
-    pairs = left.join(right, wanted & may_be_alike(a, b, threshold) & alike(l("set"), r("set"), threshold))
+    wanted = wanted & may_be_alike(a, b, threshold)
+    left, right = side(asking), side(asked)
+    left = scratch.keep(left.alias("l").join(right.alias("r"), wanted, "left_semi"))
+    right = scratch.keep(right.alias("r").join(left.alias("l"), wanted, "left_semi"))
+    pairs = sets(left).alias("l").join(sets(right).alias("r"), wanted & alike(l("set"), r("set"), threshold))
     return pairs.select(l("id").alias("a"), r("id").alias("b")).distinct()
 
 
